@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +59,12 @@ def labelled_sample(docs: DataFrame, ids: DataFrame, per_label: int, id_col: str
     return [(r["label"], r["text"]) for r in rows]
 
 
+def broadcast_object(spark: SparkSession, value):
+    """A function that gives ``value`` on executors; the value travels once to each, its classes with it."""
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(held.value)
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     """The values of a string array as UTF-8 bytes."""
     return column.cast(pa.binary()).to_pylist()
@@ -97,3 +105,12 @@ class HashIndex:
             out[rest[hit]] = self.rows[at[rest[hit]]]
             rest = rest[~hit & (got != 0)]
         return out
+
+
+#: Rows of a side that may be broadcast (tens of MB at most); a larger side is left to a shuffle join.
+SMALL_ROWS = 100_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """A written table as the small side of a join: broadcast if counting shows SMALL_ROWS or fewer, else as it is."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df

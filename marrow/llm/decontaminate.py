@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marrow.llm.common import checkpointed, utf8
+from marrow.llm.common import broadcast_object, checkpointed, utf8
 
 WINDOW = 13
 #: Windows in one broadcast: about 100 MB in a Python worker.
@@ -127,10 +127,10 @@ def find_overlap(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", te
 
     def scan(block: int) -> DataFrame:
         part = windows.where(F.pmod(F.xxhash64("item", "window"), F.lit(blocks)) == block) if blocks > 1 else windows
-        held = spark.sparkContext.broadcast(WindowSet([tuple(r) for r in part.collect()]))
+        held = broadcast_object(spark, WindowSet([tuple(r) for r in part.collect()]))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = held.value
+            own = held()
             run_type = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
             for batch in batches:
                 size, items, runs = [], [], []

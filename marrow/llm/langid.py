@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from marrow.llm.common import HashIndex, utf8
+from marrow.llm.common import broadcast_object, HashIndex, utf8
 
 #: Sample rows for each language (the bound of the model's size).
 SAMPLE_PER_LANG = 400
@@ -153,19 +153,20 @@ def has_letter(text: bytes | None) -> bool:
     return bool(text) and bool(_ASCII_LETTER.search(text) or _LETTER.search(text.decode("utf-8", "replace")))
 
 
-def identify(docs: DataFrame, model: PpmModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, lang_pred, score (0 to 1), bits_per_byte of the winner.
+def identify(docs: DataFrame, model: PpmModel | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: id, lang_pred, score (0 to 1), bits_per_byte of the winner, and the columns ``keep`` as keep_*.
 
     Null texts and texts without a letter (so empty ones, too) get ``und`` and score 0, as
     does every text without a model.  Equal code lengths fall to the first language by
     name.  Repeated rows give repeated results; other columns are not read.
     """
-    src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    schema = T.StructType([T.StructField("id", src.schema["id"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), *(docs[c].alias(f"keep_{c}") for c in keep))
+    schema = T.StructType([src.schema["id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType()), *src.schema.fields[2:]])
+    names = schema.names
+    held = broadcast_object(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
+        m = held()
         for batch in batches:
             texts = utf8(batch.column(1))
             ok = np.array([m is not None and has_letter(t) for t in texts], bool)
@@ -180,6 +181,6 @@ def identify(docs: DataFrame, model: PpmModel | None, id_col: str = "doc_id", te
                 per[ok] = bits.min(1) / size
                 for i, b in zip(np.flatnonzero(ok), best):
                     lang[i] = m.langs[b]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(per)], ["id", "lang_pred", "score", "bits_per_byte"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(per), *batch.columns[2:]], names)
 
     return src.mapInArrow(run, schema)

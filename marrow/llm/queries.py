@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marrow.llm import decontaminate, langid, quality, sentencepieces, simhash, toxicity
-from marrow.llm.common import crc_mod, labelled_sample, read_table
+from marrow.llm import chat, decontaminate, hosts, langid, linededup, quality, sentencepieces, simhash, toxicity, warc
+from marrow.llm.common import crc_mod, labelled_sample, read_table, shared_dir
 
 #: Folder of public tokenizer files; never copied here.
 TOKENIZERS = os.environ.get("MARROW_TOKENIZERS", "/opt/tokenizers")
@@ -69,5 +70,47 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_simhash": op2_simhash, "op3_sentencepiece": op3_sentencepiece, "op5_langid": op5_langid, "op7_quality": op7_quality, "op9_decontaminate": op9_decontaminate}
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = chat.rotate(read_table(spark, sf_dir, "conversations"))
+    mask = F.array_join(F.transform("mask", lambda x: F.concat(x["begin"].cast("string"), F.lit("-"), x["end"].cast("string"))), ",")
+    return r.select(F.col("conv").alias("conv_id"), "participant", "piece", "begin", "n_turns", "text", mask.alias("mask"))
+
+
+#: (verdict, host and path) of the URL rules.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = hosts.judge(read_table(spark, sf_dir, "pages"), hosts.rule_table(spark, URL_RULES))
+    return r.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "trust", "distrust")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.archive(read_table(spark, sf_dir, "pages"), path)
+    stored = warc.read_warc(spark, path).where("record_type = 'response'")
+    again = warc.read_warc(spark, path, payload=False).where("record_type = 'revisit'")
+    cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    full = stored.select(warc.page_of("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
+    short = again.select(warc.page_of("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", warc.page_of("refers_to").alias("refers_to"))
+    return full.select(cols).unionByName(short.select(cols))
+
+
+def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = linededup.dedup_lines(read_table(spark, sf_dir, "documents"))
+    return r.select(F.col("id").alias("doc_id"), "text", "n_lines", "n_removed")
+
+
+QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_simhash": op2_simhash,
+    "op3_sentencepiece": op3_sentencepiece,
+    "op4_chat": op4_chat,
+    "op5_langid": op5_langid,
+    "op6_urls": op6_urls,
+    "op7_quality": op7_quality,
+    "op8_warc": op8_warc,
+    "op9_decontaminate": op9_decontaminate,
+    "op10_linededup": op10_linededup,
+}
 ORACLES: dict[str, str] = {}

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from marrow.llm.common import HashIndex
+from marrow.llm.common import broadcast_object, HashIndex
 
 MARK = "▁"
 #: Spans remembered in a worker, each of at most SPAN characters.
@@ -270,10 +270,10 @@ def round_trip(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id",
     src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     fields = [T.StructField("id", src.schema["id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_ids", T.LongType()), T.StructField("exact", T.BooleanType())]
     fields += [T.StructField("decoded", T.StringType())] if keep_text else []
-    held = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    held = broadcast_object(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = Encoder(held.value)
+        e = Encoder(held())
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
