@@ -1 +1,77 @@
+"""Item, neighbour and prediction tables as files: readers that check columns, writers that can skip."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marrow.operators.curate import conform_items
+
+NEIGHBOR_COLUMNS = ("test_id", "neighbor_rank", "similarity", "neighbor_label")
+PREDICTION_COLUMNS = ("ground_truth", "predicted_label")
+
+
+def check_columns(df: DataFrame, wanted: tuple[str, ...]) -> DataFrame:
+    missing = [c for c in wanted if c not in df.columns]
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    return df
+
+
+def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """CSV with header, quoted fields and line breaks in them; with no schema every column is text."""
+    r = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("quote", '"')
+    return (r.schema(schema) if schema else r).csv(path)
+
+
+def read_items(spark: SparkSession, path: str, id_col: str = "item_id") -> DataFrame:
+    """Items from CSV with a column that gives their order."""
+    return conform_items(read_csv(spark, path).withColumn(id_col, F.col(id_col).cast("long")), id_col)
+
+
+def load_neighbors(df: DataFrame, k: int) -> DataFrame:
+    """One row per query with its neighbours below rank k as an array in rank order.
+
+    With a column k (one list per k in the same table) the wanted k is read, or the
+    largest there is when it is absent.
+    """
+    check_columns(df, NEIGHBOR_COLUMNS)
+    if "k" in df.columns:
+        have = df.agg(F.max("k").alias("largest"), F.max(F.when(F.col("k") == k, F.col("k"))).alias("wanted"))
+        df = df.join(F.broadcast(have), F.col("k") == F.coalesce("wanted", "largest")).drop("largest", "wanted")
+    near = F.struct(F.col("neighbor_rank"), F.col("similarity"), F.col("neighbor_label"))
+    return df.where(F.col("neighbor_rank") < k).groupBy("test_id").agg(F.array_sort(F.collect_list(near)).alias("neighbors"))
+
+
+def write(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "error", by: tuple[str, ...] = ()) -> None:
+    """Write a table; mode "ignore" skips one that exists."""
+    w = df.write.format(fmt).mode(mode)
+    if fmt == "csv":
+        w = w.option("header", True).option("escape", '"').option("quote", '"')
+    (w.partitionBy(*by) if by else w).save(path)
+
+
+def write_splits(split: DataFrame, path: str, fmt: str = "parquet", mode: str = "error") -> None:
+    """Train and test tables, and their titles and labels apart."""
+    for s in ("train", "test"):
+        own = split.where(F.col("split") == s).drop("split")
+        write(own, f"{path}/{s}_split", fmt, mode)
+        write(own.select("item_id", "title", "labels"), f"{path}/{s}_split_info", fmt, mode)
+
+
+def write_neighbors(neighbors: DataFrame, path: str, mode: str = "error") -> None:
+    """One table with a folder per k."""
+    write(check_columns(neighbors, (*NEIGHBOR_COLUMNS, "k")), path, "parquet", mode, ("k",))
+
+
+def write_predictions(preds: DataFrame, path: str, fmt: str = "parquet", mode: str = "error") -> None:
+    write(check_columns(preds, PREDICTION_COLUMNS), path, fmt, mode)
+
+
+def log_rows(preds: DataFrame, id_col: str = "item_id", chars: int = 500) -> DataFrame:
+    return preds.select(id_col, F.substring("raw_output", 1, chars).alias("raw_output"), F.col("predicted_label").alias("parsed_label"), "ground_truth")
+
+
+def write_log(preds: DataFrame, path: str, mode: str = "error") -> None:
+    """JSON lines with outputs cut to 500 characters."""
+    write(log_rows(preds), path, "json", mode)

@@ -1 +1,33 @@
+"""Streaming triage: items that arrive one at a time are retrieved and voted on as micro-batches."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from marrow.operators.retrieve import knn_join
+from marrow.operators.vote import vote_sweep
+
+
+def classify(items: DataFrame, pool: DataFrame, k: int, scheme: str = "similarity") -> DataFrame:
+    """(test_id, predicted_label) of items (item_id, vector) by their neighbours in a pool (item_id, vector, labels)."""
+    near = knn_join(items, pool, k)
+    labels = pool.select(F.col("item_id").alias("neighbor_id"), F.col("labels").alias("neighbor_label"))
+    near = near.join(labels, "neighbor_id").withColumn("test_label", F.lit(None).cast("string"))
+    return vote_sweep(near, [k], (scheme,)).select("test_id", "predicted_label")
+
+
+def triage(stream: DataFrame, pool: DataFrame, k: int, sink: Callable[[DataFrame, int], None], checkpoint: str, scheme: str = "similarity"):
+    """Start a query that classifies every micro-batch against a static pool.
+
+    A top-k has no end on an unbounded stream, so it is taken in foreachBatch; ``sink``
+    gets the batch's labels and its number, by which it can skip a batch it has seen.
+    """
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: sink(classify(df, pool, k, scheme), n)).start()
+
+
+def distinct_posts(stream: DataFrame, key_cols: list[str], time_col: str, delay: str) -> DataFrame:
+    """Repeated posts within the watermark are dropped; state is bounded by the delay."""
+    return stream.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(key_cols)
