@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from marrow.llm import chat, decontaminate, hosts, langid, linededup, quality, sentencepieces, simhash, toxicity, warc
 from marrow.llm.common import crc_mod, labelled_sample, read_table, shared_dir
+from marrow.llm.oracles import ORACLES
 
 #: Folder of public tokenizer files; never copied here.
 TOKENIZERS = os.environ.get("MARROW_TOKENIZERS", "/opt/tokenizers")
@@ -98,7 +99,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = linededup.dedup_lines(read_table(spark, sf_dir, "documents"))
-    return r.select(F.col("id").alias("doc_id"), "text", "n_lines", "n_removed")
+    return r.select(F.col("id").alias("doc_id"), "text", "n_removed")
 
 
 QUERIES = {
@@ -113,4 +114,5 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_linededup": op10_linededup,
 }
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
