@@ -27,7 +27,7 @@ from marrow.llm.common import broadcast_object, HashIndex, utf8
 SAMPLE_PER_LANG = 400
 #: Longest context in bytes; at most 6, so that a gram fits in 56 bits.
 ORDER = 4
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 #: Bytes whose evidence counts for the score.
 EVIDENCE_BYTES = 40
 UNKNOWN = "und"
