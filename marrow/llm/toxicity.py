@@ -90,7 +90,7 @@ def _typical(own: Counter, n: int, other: Counter, m: int, ratio: float = 8, lea
     out = set()
     for g, a in own.items():
         b = other.get(g, 0)
-        if a >= 3 and a / n >= ratio * (b + 0.5) / m:
+        if a >= 5 and a / n >= ratio * (b + 0.5) / m:
             p = (a + b) / (n + m)
             if 2 * (_loglik(a, n, a / n) + _loglik(b, m, b / m) - _loglik(a, n, p) - _loglik(b, m, p)) >= least:
                 out.add(g)
