@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marrow.llm import decontaminate, langid, linededup, sentencepieces, simhash
+from marrow.llm import decontaminate, langid, linededup, nearcopies, sentencepieces, simhash
 from marrow.llm.common import checkpointed, read_table, shared_dir, small_side
 from marrow.llm.queries import PIECE_MODEL, train_langid
 
@@ -20,6 +20,8 @@ from marrow.llm.queries import PIECE_MODEL, train_langid
 LEAST_LANG_SCORE = 0.5
 #: Words in a shingle of the near-dedup stage, and bits in which linked fingerprints may differ.
 SHINGLE, DISTANCE = 5, 3
+#: Documents of this similarity of shingle sets are near copies as well.
+SIMILARITY = 0.8
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -43,9 +45,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the smallest doc_id stays."""
-    r = simhash.near_duplicates(docs, shingle=SHINGLE, distance=DISTANCE)
-    return _without(docs, r.where("id <> component_id").select("id"))
+    """Of each class of near copies, by fingerprint and by shingle set, the smallest doc_id stays."""
+    prints = simhash.near_duplicates(docs, shingle=SHINGLE, distance=DISTANCE)
+    sets = nearcopies.near_copies(docs, shingle=SHINGLE, similarity=SIMILARITY)
+    return _without(docs, prints.select("id", "component_id").unionByName(sets).where("id <> component_id").select("id"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from marrow.llm import chat, decontaminate, graph, hosts, langid, linededup, quality, sentencepieces, simhash, toxicity, warc
+import corpus_pipeline
+from marrow.llm import chat, decontaminate, graph, hosts, langid, linededup, nearcopies, quality, sentencepieces, simhash, toxicity, warc
 from marrow.llm.queries import PIECE_MODEL
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, key int, score string, label string"
@@ -144,6 +145,39 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+# --- near copies ---------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("block", [4096, 8])
+def test_near_copies_brute_force(spark, edge, block):
+    """Texts of a shingle similarity near 0.8 link, whatever their fingerprints, and others don't."""
+    r = random.Random(8)
+    texts, n = {}, 0
+    for _ in range(30):
+        base = [f"w{r.randrange(4000)}" for _ in range(r.randint(6, 300))]
+        for _ in range(r.choice([1, 3, 9])):
+            t = list(base)
+            for _ in range(r.randint(0, 1 + len(t) // 40)):
+                t[r.randrange(len(t))] = f"x{r.randrange(4000)}"
+            texts[n] = " ".join(t)
+            n += 1
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((i, t.split()) for i, t in texts.items())}
+    near = [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    fps = {i: simhash.fingerprint_of(t.encode(), 5) for i, t in texts.items()}
+    assert sum((fps[i] ^ fps[j]).bit_count() > 3 for i, j in near) > 10
+    root = {i: i for i in texts}
+    for _ in texts:
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {x["id"]: x["component_id"] for x in nearcopies.near_copies(d, block=block).collect()} == root
+    kept = {x["doc_id"] for x in corpus_pipeline.near_dedup(spark, d.selectExpr("*", "'en' as lang", "'s' as source", "cast(length(text) as long) as n_chars"), "").collect()}
+    assert not [1 for i, j in near if i in kept and j in kept]
+    print_root = brute_near(texts, 5, 3)
+    assert kept == {i for i in texts if root[i] == i and print_root[i] == i}
+    assert nearcopies.near_copies(edge).count() == edge.count() and nearcopies.near_copies(edge.limit(0)).count() == 0
+
+
 # --- SentencePiece -------------------------------------------------------------------
 
 
