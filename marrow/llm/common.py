@@ -115,10 +115,14 @@ class HashIndex:
         return out
 
 
-#: Rows of a side that may be broadcast (tens of MB at most); a larger side is left to a shuffle join.
+#: Rows of a side that may be broadcast, at some 100 bytes each; a larger side is left to a shuffle join.
 SMALL_ROWS = 100_000
 
 
-def small_side(df: DataFrame) -> DataFrame:
-    """A written table as the small side of a join: broadcast if counting shows SMALL_ROWS or fewer, else as it is."""
-    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+def small_side(df: DataFrame, weight: Column | None = None) -> DataFrame:
+    """A written table as the small side of a join: broadcast if it has SMALL_ROWS rows or fewer, else as it is.
+
+    ``weight`` is for rows of no fixed size: how many small rows each is worth (one is added).
+    """
+    n = df.count() if weight is None else df.agg(F.coalesce(F.sum(weight.cast("long") + 1), F.lit(0))).first()[0]
+    return F.broadcast(df) if n <= SMALL_ROWS else df

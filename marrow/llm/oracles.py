@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marrow.llm.linededup import ENDS, RUN_WORDS
+from marrow.llm.linededup import ENDS, GRAM, REACH, RUN_LINES, RUN_WORDS, WINDOW
 from marrow.llm.quality import FENCES
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -74,27 +74,35 @@ FROM d LEFT JOIN hw USING (r) LEFT JOIN hi USING (r)
 """
 
 
-def _marked() -> str:
-    out = "text"
-    for end in ENDS:
-        x = "chr(10)" if end == "\n" else f"'{end}'"
-        out = f"replace({out}, {x}, concat({x}, chr(1)))"
-    return out
+_HANGING = "concat(chr(10), chr(9), chr(13), chr(11), chr(12), ' ')"
 
 
-_SPACE = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
-_DIRECTIONS = (("0", "place", f"BETWEEN CURRENT ROW AND {RUN_WORDS - 1} FOLLOWING"), ("1", "till", f"BETWEEN {RUN_WORDS - 1} PRECEDING AND CURRENT ROW"))
+def _run(side: str, list_: str, at: str) -> str:
+    """Lines that the list of ``side`` shares with the head's, from its gram to the left (sign -) or right."""
+    lo = {"l": f"{list_}[{at} - k + 1 : {at}]", "r": f"{list_}[{at} + {GRAM} + 1 : {at} + {GRAM} + k]"}
+    return lo[side]
 
-LINES = f"""
-WITH a AS (SELECT doc_id, text, string_split({_marked()}, chr(1)) AS parts FROM documents),
-e AS (SELECT doc_id, pos - 1 AS pos, parts[pos] AS line, trim(parts[pos], {_SPACE}) AS bare FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS pos FROM a)),
-l AS (SELECT doc_id, pos, bare, n, upto - n AS place, upto AS till FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM (
-    SELECT doc_id, pos, bare, length(bare) - length(replace(bare, ' ', '')) + 1 AS n FROM e WHERE bare <> ''))),
-w AS ({' UNION ALL '.join(f"SELECT doc_id, {k} AS kind, list(bare) OVER x AS run, min(pos) OVER x AS s, max(pos) OVER x AS e, sum(n) OVER x AS size FROM l WINDOW x AS (PARTITION BY doc_id ORDER BY {o} RANGE {r})" for k, o, r in _DIRECTIONS)}),
-f AS (SELECT kind, run, min(struct_pack(doc_id := doc_id, s := s, e := e)) AS first FROM w WHERE size >= {RUN_WORDS} GROUP BY 1, 2 HAVING count(*) > 1),
-c AS (SELECT DISTINCT doc_id, unnest(range(w.s, w.e + 1)) AS pos FROM w JOIN f USING (kind, run) WHERE size >= {RUN_WORDS} AND (w.doc_id > first.doc_id OR w.doc_id = first.doc_id AND w.s > first.e))
-SELECT a.doc_id, CASE WHEN a.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, coalesce(k.n_removed, 0) AS n_removed FROM a LEFT JOIN (
-    SELECT e.doc_id, string_agg(e.line, '' ORDER BY e.pos) FILTER (c.pos IS NULL) AS text, count(c.pos) AS n_removed FROM e LEFT JOIN c ON c.doc_id = e.doc_id AND c.pos = e.pos GROUP BY 1) k USING (doc_id)
+
+def _shared(side: str) -> str:
+    room = {"l": "k <= p.pos AND k <= p.hpos", "r": f"p.pos + {GRAM} + k <= len(p.lines) AND p.hpos + {GRAM} + k <= len(p.hlines)"}[side]
+    return f"list_max(list_filter(range(0, {REACH + 1}), lambda k: {room} AND {_run(side, 'p.lines', 'p.pos')} = {_run(side, 'p.hlines', 'p.hpos')}))"
+
+
+LINES = rf"""
+WITH a AS (SELECT doc_id, text, string_split(regexp_replace(replace(text, chr(10), concat(chr(10), ' ')), '([{ENDS}\n]) ', concat('\1', chr(1)), 'g'), chr(1)) AS parts FROM documents),
+t AS (SELECT doc_id, i - 1 AS line, parts[i] AS part, CASE WHEN parts[i] LIKE concat('%', chr(10)) THEN trim(parts[i], {_HANGING}) ELSE parts[i] END AS bare FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM a)),
+d AS (SELECT doc_id, list(bare ORDER BY line) AS lines, list(least(63, length(bare) - length(replace(bare, ' ', '')) + 1) ORDER BY line) AS counts, list(md5(bare) ORDER BY line) AS numbers FROM t GROUP BY 1),
+x AS (SELECT *, list_transform(range(1, len(lines) - {RUN_LINES} + 2), lambda i: list_min(numbers[i : i + {WINDOW} - 1])) AS least FROM d WHERE len(lines) >= {RUN_LINES}),
+g AS (SELECT doc_id, unnest(list_filter(range(0, len(lines) - {GRAM} + 1), lambda j: list_contains(least[greatest(j - {WINDOW} + 2, 1) : j + 1], numbers[j + 1]))) AS pos FROM x),
+f AS (SELECT doc_id, pos, lines[pos + 1 : pos + {GRAM}] AS gram FROM g JOIN d USING (doc_id)),
+h AS (SELECT gram, min(struct_pack(doc_id := doc_id, pos := pos)) AS head FROM f GROUP BY 1 HAVING count(*) > 1),
+p AS (SELECT f.doc_id, f.pos, d.lines, d.counts, head.doc_id AS hdoc, head.pos AS hpos, o.lines AS hlines FROM f JOIN h USING (gram) JOIN d ON d.doc_id = f.doc_id JOIN d o ON o.doc_id = head.doc_id WHERE (f.doc_id, f.pos) <> (head.doc_id, head.pos)),
+r AS (SELECT *, {_shared('l')} AS l, {_shared('r')} AS r FROM p),
+k AS (SELECT DISTINCT doc_id, unnest(range(pos - l, pos + {GRAM} + r)) AS line FROM r
+    WHERE list_sum(counts[pos - l + 1 : pos + {GRAM} + r]) >= {RUN_WORDS} AND (doc_id <> hdoc OR pos - l > hpos + r + {GRAM} - 1))
+SELECT a.doc_id, CASE WHEN a.text IS NULL THEN NULL ELSE coalesce(v.text, '') END AS text, coalesce(v.n_removed, 0) AS n_removed FROM a LEFT JOIN (
+    SELECT t.doc_id, replace(string_agg(t.part, ' ' ORDER BY t.line) FILTER (k.line IS NULL), concat(chr(10), ' '), chr(10)) AS text, count(k.line) AS n_removed
+    FROM t LEFT JOIN k ON k.doc_id = t.doc_id AND k.line = t.line GROUP BY 1) v USING (doc_id)
 """
 
 ORACLES = {"op4_chat": CHAT, "op7_quality": QUALITY, "op8_warc": WARC, "op9_decontaminate": DECONTAMINATE, "op10_linededup": LINES}

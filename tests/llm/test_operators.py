@@ -1,6 +1,7 @@
 """Corpus operators against brute force, and on edge rows."""
 
 import gzip
+import hashlib
 import math
 import random
 import re
@@ -433,47 +434,72 @@ def test_spans_are_removed(spark):
 
 
 def brute_lines(rows, words):
+    G, W = linededup.GRAM, linededup.WINDOW
     docs = []
     for i, t in rows:
-        parts = re.split(linededup.LINE_END, t) if t else [""]
-        own = [(k, p.strip(" \t\n\x0b\x0c\r")) for k, p in enumerate(parts)]
-        docs.append((i, t, parts, [(k, b, b.count(" ") + 1) for k, b in own if b]))
-    found = []
+        parts = re.split(rf"(?<=[{linededup.ENDS}\n]) ", (t or "").replace("\n", "\n "))
+        docs.append((i, t, parts, [p.strip(linededup.HANGING) if p.endswith("\n") else p for p in parts]))
+    heads, places = {}, []
     for d, (i, _, _, own) in enumerate(docs):
-        for step in (1, -1):
-            for a in range(len(own)):
-                n, b = 0, a
-                while 0 <= b < len(own):
-                    n += own[b][2]
-                    if n >= words:
-                        lo, hi = min(a, b), max(a, b)
-                        found.append(((step, tuple(x[1] for x in own[lo : hi + 1])), i, d, own[lo][0], own[hi][0]))
-                        break
-                    b += step
-    first = {}
-    for run, i, d, s, e in sorted(found, key=lambda x: (x[1], x[3])):
-        first.setdefault(run, (i, d, s, e))
+        md5 = [hashlib.md5(x.encode()).hexdigest() for x in own]
+        chosen = set()
+        for k in range(len(own) - (G + W - 1) + 1):
+            low = min(md5[k : k + W])
+            chosen |= {j for j in range(k, k + W) if md5[j] == low}
+        for j in sorted(chosen):
+            heads.setdefault(tuple(own[j : j + G]), (d, j))
+            places.append((d, j))
     cut = defaultdict(set)
-    for run, i, d, s, e in found:
-        f = first[run]
-        if (i, s) > (f[0], f[2]) and (d != f[1] or s > f[3]):
-            cut[d].update(range(s, e + 1))
-    return {i: None if t is None else "".join(p for k, p in enumerate(parts) if k not in cut[d]) for d, (i, t, parts, _) in enumerate(docs)}
+    for d, j in places:
+        own = docs[d][3]
+        e, h = heads[tuple(own[j : j + G])]
+        other = docs[e][3]
+        if (d, j) == (e, h):
+            continue
+        left = right = 0
+        while left < linededup.REACH and min(j, h) > left and own[j - left - 1] == other[h - left - 1]:
+            left += 1
+        while right < linededup.REACH and max(j + G + right - len(own), h + G + right - len(other)) < 0 and own[j + G + right] == other[h + G + right]:
+            right += 1
+        run = range(j - left, j + G + right)
+        if sum(own[k].count(" ") + 1 for k in run) >= words and (d != e or j - left > h + G - 1 + right):
+            cut[d].update(run)
+    return {i: None if t is None else " ".join(p for k, p in enumerate(parts) if k not in cut[d]).replace("\n ", "\n") for d, (i, t, parts, _) in enumerate(docs)}
 
 
 @pytest.mark.parametrize("words", [4, 12])
 def test_line_dedup_brute_force(spark, words):
     r = random.Random(words)
-    line = lambda: " ".join(r.choice("abc") for _ in range(r.randint(1, 6)))
+    line = lambda: " ".join(r.choice("abcr") for _ in range(r.randint(1, 6)))
     common = [line() for _ in range(8)]
     rows = []
     for i in range(80):
-        t = "".join((line() if r.random() < 0.5 else " ".join(common[k : k + 3])) + r.choice(["\n", ". ", "\n\n", "! "]) for k in (r.randrange(8) for _ in range(r.randint(1, 12))))
+        t = "".join((line() if r.random() < 0.4 else ", ".join(common[k : k + 6])) + r.choice(["\n", ". ", "\n\n", "! ", "\r\n", ".  "]) for k in (r.randrange(8) for _ in range(r.randint(1, 12))))
         rows.append((i, t))
     rows += [(80, None), (81, ""), (82, "\n\n"), (83, "one \uffff " + rows[3][1])]
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("clash"))
     got = {x["id"]: x["text"] for x in linededup.dedup_lines(d, words=words).collect()}
     assert got == brute_lines(rows, words)
+    assert sum(got[i] != t for i, t in rows) > 20
+
+
+def test_long_runs_go_wherever_they_start(spark):
+    """The guarantee: of a run of RUN_LINES lines nothing but the broken lines at its ends stays."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("aeionstr") for _ in range(r.randint(2, 7)))
+    text = lambda n: [word() + r.choice(["", "", "", "", ",", "."]) for _ in range(n)]
+    passage, rows = text(60), []
+    for i in range(30):
+        w = text(80)
+        k = r.randrange(80)
+        rows.append((i, " ".join(w[:k] + passage + w[k:])))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["id"]: x["text"] for x in linededup.dedup_lines(d).collect()}
+    lines = re.split(rf"(?<=[{linededup.ENDS}]) ", " ".join(passage))
+    assert len(lines) >= linededup.RUN_LINES + 2 and got[0] == rows[0][1]
+    for i, t in rows[1:]:
+        assert not any(x in got[i] for x in lines[1:-1] if len(x) > 12)
+        assert 80 <= len(got[i].split()) <= 80 + len(lines[0].split()) + len(lines[-1].split())
 
 
 def test_passage_in_a_paragraph(spark):
