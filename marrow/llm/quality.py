@@ -3,10 +3,12 @@
 Base measures of each text are counted in whole numbers.  Of four ratios (parts per
 million) every (lang, source) keeps a mergeable quantile sketch: a log-linear histogram
 with a relative error of 1/32, whose buckets are counted by an ordinary aggregate, so
-that partial sketches add up in any order.  The upper fence of a ratio is
-q75 + 3 (q75 - q25), held between a floor and a ceiling, so that a clean group loses
-nothing to its own tail and a bad one doesn't excuse itself.  A document is kept if it
-passes the base rules and all fences of its group.
+that partial sketches add up in any order.  A ratio's fences lie beyond an upper (for word
+length also a lower) quantile of its group by a multiple of the distance between two of its
+quantiles, and by LEAST_WIDTH where a group has no spread at all.  No fence has a fixed
+place: what a group does as a rule is its norm.  A group of fewer than LEAST_DOCS documents
+takes the sketch of its language.  A document is kept if it passes the base rules and all
+fences of its group.
 """
 
 from __future__ import annotations
@@ -23,8 +25,15 @@ from pyspark.sql import Window
 from marrow.llm.common import WHITE, checkpointed, utf8
 
 SYMBOLS = b"#*$%&|<>"
-#: Ratio: (floor, ceiling) of its fence, parts per million (word_length: thousandths of a character).
-FENCES = {"symbols": (100_000, 300_000), "dup_lines": (300_000, 600_000), "repeats": (200_000, 500_000), "word_length": (12_000, 20_000)}
+#: Ratio: percentiles p and q, factor: the upper fence is q + factor (q - p).  Ratios that are zero in most
+#: documents of a clean group and large in a few (repeats) are measured by their far tail.
+FENCES = {"symbols": (25, 75, 3), "dup_lines": (50, 99, 1), "repeats": (50, 99, 1), "word_length": (25, 75, 5)}
+#: Ratios with a lower fence as well: p - factor (q - p).
+TWO_SIDED = ("word_length",)
+#: Least distance of a fence from its quantile: one part in a hundred (word_length: a tenth of a character).
+LEAST_WIDTH = {"symbols": 10_000, "dup_lines": 10_000, "repeats": 10_000, "word_length": 100}
+#: Documents past the base rules that a group needs for fences of its own.
+LEAST_DOCS = 100
 _RATIOS = {"symbols": "n_symbols * 1000000 div word_chars", "dup_lines": "n_dup_lines * 1000000 div greatest(n_lines, 1)", "repeats": "n_repeat_words * 1000000 div n_words", "word_length": "word_chars * 1000 div n_words"}
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 
@@ -85,13 +94,39 @@ def sketches(counted: DataFrame, groups: list[str]) -> DataFrame:
     return each.groupBy(*groups, F.col("x.rule").alias("rule"), bucket_of(F.col("x.value")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def fences(sketch: DataFrame, groups: list[str]) -> DataFrame:
-    """One row per group with the fence of each rule, from the quartiles of its sketch."""
+def _quantiles(sketch: DataFrame, groups: list[str]) -> DataFrame:
+    """(groups, rule, total, p, q): documents of a sketch, and the two quantiles of its rule."""
     w = Window.partitionBy(*groups, "rule")
     s = sketch.select(*groups, "rule", "bucket", F.sum("n").over(w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("n").over(w).alias("total"))
-    q = s.groupBy(*groups, "rule").agg(F.min(F.when(F.col("upto") * 4 >= F.col("total"), F.col("bucket"))).alias("b25"), F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, F.col("bucket"))).alias("b75"))
-    q = q.withColumn("fence", bucket_top(F.col("b75")) * 4 - bucket_top(F.col("b25")) * 3)
-    return q.groupBy(*groups).agg(*(F.least(F.greatest(F.max(F.when(F.col("rule") == r, F.col("fence"))), F.lit(lo)), F.lit(hi)).alias(f"fence_{r}") for r, (lo, hi) in FENCES.items()))
+
+    def at(k: int) -> Column:
+        percent = F.element_at(F.create_map(*(F.lit(x) for r, f in FENCES.items() for x in (r, f[k]))), F.col("rule"))
+        return bucket_top(F.min(F.when(F.col("upto") * 100 >= F.col("total") * percent, F.col("bucket"))))
+
+    return s.groupBy(*groups, "rule").agg(F.max("total").alias("total"), at(0).alias("p"), at(1).alias("q"))
+
+
+def fences(sketch: DataFrame, groups: list[str]) -> DataFrame:
+    """One row per group with the fences of each rule: upper ones (fence_*), and lower ones (least_*) of TWO_SIDED.
+
+    A small group's fences come from the merged sketches of all groups that share all but its
+    last column.
+    """
+    wide = [F.col(g).alias(f"w{k}") for k, g in enumerate(groups[:-1])]
+    merged = sketch.groupBy(*groups[:-1], "rule", "bucket").agg(F.sum("n").alias("n"))
+    merged = _quantiles(merged, groups[:-1]).select(*wide, F.col("rule").alias("wrule"), F.col("p").alias("wp"), F.col("q").alias("wq"))
+    same = F.col("rule") == F.col("wrule")
+    for k, g in enumerate(groups[:-1]):
+        same = same & F.col(g).eqNullSafe(F.col(f"w{k}"))
+    small = F.col("total") < LEAST_DOCS
+    x = _quantiles(sketch, groups).join(merged, same).select(*groups, "rule", F.when(small, F.col("wp")).otherwise(F.col("p")).alias("p"), F.when(small, F.col("wq")).otherwise(F.col("q")).alias("q"))
+    out = []
+    for r, (_, _, factor) in FENCES.items():
+        width = F.greatest(F.lit(factor) * (F.col("q") - F.col("p")), F.lit(LEAST_WIDTH[r]))
+        out.append(F.max(F.when(F.col("rule") == r, F.col("q") + width)).alias(f"fence_{r}"))
+        if r in TWO_SIDED:
+            out.append(F.max(F.when(F.col("rule") == r, F.col("p") - width)).alias(f"least_{r}"))
+    return x.groupBy(*groups).agg(*out)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols: tuple[str, ...] = ("lang", "source")) -> DataFrame:
@@ -104,12 +139,15 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group
     """
     groups = [f"g{k}" for k in range(len(group_cols))]
     counted = checkpointed(measures(docs, id_col, text_col, group_cols))
-    limits = fences(sketches(counted, groups), groups).select(*(F.col(g).alias(f"of_{g}") for g in groups), *(f"fence_{r}" for r in FENCES))
+    names = [f"fence_{r}" for r in FENCES] + [f"least_{r}" for r in TWO_SIDED]
+    limits = fences(sketches(counted, groups), groups).select(*(F.col(g).alias(f"of_{g}") for g in groups), *names)
     same = F.lit(True)
     for g in groups:
         same = same & F.col(g).eqNullSafe(F.col(f"of_{g}"))
     within = F.lit(True)
     for r, x in _RATIOS.items():
         within = within & (F.expr(x) <= F.col(f"fence_{r}"))
+        if r in TWO_SIDED:
+            within = within & (F.expr(x) >= F.col(f"least_{r}"))
     out = counted.join(limits, same, "left").withColumn("base_failed", base_failed())
-    return out.select("id", *_COUNTS, "base_failed", F.when(F.col("base_failed"), False).otherwise(F.coalesce(within, F.lit(False))).alias("kept"), *(f"fence_{r}" for r in FENCES))
+    return out.select("id", *_COUNTS, "base_failed", F.when(F.col("base_failed"), False).otherwise(F.coalesce(within, F.lit(False))).alias("kept"), *names)

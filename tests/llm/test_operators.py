@@ -338,17 +338,47 @@ def test_sketch_buckets(spark):
     assert d.selectExpr("id", "b", "lag(b) over (order by id) as p").where("p > b").count() == 0
 
 
-def test_quality_adapts_and_keeps_clean(spark, edge):
+def _quality_rows():
+    """Prose with hardly a symbol, tables where every tenth character is one, and one document of each kind in the middle."""
     r = random.Random(1)
-    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
-    rows = [(i, " ".join(word() for _ in range(100)), "en", "clean") for i in range(60)]
-    rows += [(100 + i, " ".join(word() + "###" for _ in range(100)), "en", "clean") for i in range(3)]
-    got = {x["id"]: x["kept"] for x in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
-    assert all(got[i] for i in range(60)) and not any(got[100 + i] for i in range(3))
+    word = lambda tail="": "".join(r.choice("abcdefghij") for _ in range(r.randint(4, 8))) + tail
+    text = lambda p: " ".join(word("#" if r.random() < p else "") for _ in range(100))
+    middle = text(0.6)
+    rows = [(i, text(0.01), "en", "prose") for i in range(150)] + [(200 + i, text(r.uniform(0.3, 0.8)), "en", "tables") for i in range(150)]
+    rows += [(400, middle, "en", "prose"), (401, middle, "en", "tables"), (402, text(0).replace(" ", "abcdefgh "), "en", "prose"), (403, " ".join(x[:2] for x in text(0).split()), "en", "prose")]
+    return rows + [(404, middle, "en", "small")]
+
+
+def test_quality_fences_follow_the_group(spark, edge):
+    rows = _quality_rows()
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = {x["id"]: x for x in quality.judge(d).collect()}
+    assert all(out[i]["kept"] for i in range(150)) and all(out[200 + i]["kept"] for i in range(150))
+    # the same text is odd in one group and usual in the other; too long and too short words both go
+    assert not out[400]["kept"] and out[401]["kept"] and not out[402]["kept"] and not out[403]["kept"]
+    assert out[400]["n_symbols"] == out[401]["n_symbols"]
+    for r in ("symbols", "word_length"):
+        assert out[400][f"fence_{r}"] != out[401][f"fence_{r}"]
+    # a small group goes by its language: both sources together
+    assert out[400]["fence_symbols"] < out[404]["fence_symbols"] and out[404]["kept"]
     for x in both(spark, edge):
         assert quality.judge(x).count() == x.count()
 
 
+def test_quality_fences_brute_force(spark):
+    rows = _quality_rows()
+    out = {x["id"]: x for x in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    ratio = {"symbols": lambda m: m[2] * 10**6 // m[1], "dup_lines": lambda m: m[4] * 10**6 // max(m[3], 1), "repeats": lambda m: m[5] * 10**6 // m[0], "word_length": lambda m: m[1] * 1000 // m[0]}
+    for source in ("prose", "tables", "small"):
+        own = [quality.measures_of(t.encode()) for _, t, _, s in rows if s == source or source == "small"]
+        for rule, (p, q, factor) in quality.FENCES.items():
+            v = sorted(ratio[rule](m) for m in own)
+            lo, hi = (v[-(-len(v) * k // 100) - 1] for k in (p, q))
+            want = hi + max(factor * (hi - lo), quality.LEAST_WIDTH[rule])
+            got = next(x[f"fence_{rule}"] for x in out.values() for r in rows if r[0] == x["id"] and r[3] == source)
+            assert abs(got - want) <= (factor + 1) * (hi + lo) / 32 + 1, (source, rule)
+
+
 # --- WARC ----------------------------------------------------------------------------
 
 
