@@ -81,9 +81,9 @@ def norm(v: Column | str) -> Column:
 
 
 def l2_normalize(v: Column | str) -> Column:
-    """Unit vector in double precision; a zero vector stays as it is."""
-    n = norm(v)
-    return F.transform(_col(v), lambda x: x.cast("double") / F.when(n > 0, n).otherwise(1.0))
+    """Unit vector in double precision; a zero vector stays as it is.  The norm is bound once."""
+    scaled = lambda n: F.transform(_col(v), lambda x: x.cast("double") / F.when(n > 0, n).otherwise(1.0))
+    return F.transform(F.array(norm(v)), scaled)[0]
 
 
 def dot(a: Column | str, b: Column | str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marrow.functions import dot, norm
+from marrow.functions import dot, l2_normalize, norm
 
 
 def _means(df: DataFrame, by: list[str], digits: int = 12) -> DataFrame:
@@ -59,9 +59,11 @@ def shift_vectors(df: DataFrame, directions: DataFrame, multiplier: float, layer
 
 
 def remove_direction(df: DataFrame, directions: DataFrame) -> DataFrame:
-    """x - (x.r) r with r the unit direction of the layer; a zero direction changes nothing."""
-    n = norm("direction")
-    d = _with_direction(df, directions).withColumn("r", F.transform("direction", lambda x: x / F.when(n > 0, n).otherwise(1.0)))
-    d = d.withColumn("along", dot("vector", "r"))
-    out = F.zip_with("vector", "r", lambda x, r: x.cast("double") - F.col("along") * r)
-    return d.withColumn("vector", F.when(F.col("r").isNotNull(), out).otherwise(F.col("vector").cast("array<double>"))).drop("direction", "r", "along")
+    """x - (x.r) r with r the unit direction of the layer; a zero direction changes nothing.
+
+    Directions are made unit before the join, and x.r is bound once for a vector.
+    """
+    unit = directions.select("layer", l2_normalize("vector").alias("vector"))
+    less = lambda along: F.zip_with("vector", "direction", lambda x, r: x.cast("double") - along * r)
+    out = F.transform(F.array(dot("vector", "direction")), less)[0]
+    return _with_direction(df, unit).withColumn("vector", F.when(F.col("direction").isNotNull(), out).otherwise(F.col("vector").cast("array<double>"))).drop("direction")

@@ -11,13 +11,41 @@ def shuffled(seed: int, *ids: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in ids)))
 
 
-def _ranked(df: DataFrame, order: Column) -> DataFrame:
-    """rn: rank in the label; cnt: rows of the label; li, n_labels: place of the label and number of labels."""
-    sizes = df.groupBy("labels").agg(F.count("*").alias("cnt"))
+#: Hex digits of an md5 order that make a block; blocks are what a cut-off is looked up in.
+_PREFIX = 4
+#: Item ids in a block of the item_id order.
+_IDS = 65536
+
+
+def _sizes(df: DataFrame) -> DataFrame:
+    """One row per label, by design a handful: cnt rows, its place li, and n_labels."""
     everywhere = Window.partitionBy(F.lit(0))
-    sizes = sizes.withColumn("li", F.row_number().over(everywhere.orderBy("labels")) - 1).withColumn("n_labels", F.count("*").over(everywhere))
-    # one row per label, by design a handful; without a limit Spark may still choose a shuffle
-    return df.withColumn("rn", F.row_number().over(Window.partitionBy("labels").orderBy(order, "item_id"))).join(F.broadcast(sizes), "labels")
+    sizes = df.groupBy("labels").agg(F.count("*").alias("cnt"))
+    return sizes.withColumn("li", F.row_number().over(everywhere.orderBy("labels")) - 1).withColumn("n_labels", F.count("*").over(everywhere))
+
+
+def _heads(df: DataFrame, quotas: DataFrame, seed: int | None = None) -> DataFrame:
+    """df with the columns of ``quotas`` (labels, quota, ..), one row for each, and head: is the row among the label's first?
+
+    The order is by item_id, or with a seed its md5 order; ids are distinct.  No task sees
+    the rows of a label: counts of (label, block of the order) tell in which block a quota
+    ends, only that block's keys are ranked, and every row is then compared with its label's
+    last one.
+    """
+    order = F.col("item_id") if seed is None else shuffled(seed, "item_id")
+    block = F.floor(F.col("item_id") / _IDS) if seed is None else F.substring(order, 1, _PREFIX)
+    own = [c for c in quotas.columns if c not in ("labels", "quota")]
+    keys = df.select(F.col("labels"), block.alias("block"), order.alias("place"), "item_id")
+    counts = keys.groupBy("labels", "block").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("labels").orderBy("block")) - F.col("n")
+    edge = counts.withColumn("before", before).join(F.broadcast(quotas), "labels").where("before < quota and quota <= before + n")
+    edge = edge.select("labels", "block", *own, (F.col("quota") - F.col("before")).alias("rest"))
+    w = Window.partitionBy("labels", *own).orderBy("place", "item_id")
+    last = keys.join(F.broadcast(edge), ["labels", "block"]).withColumn("rn", F.row_number().over(w)).where("rn = rest")
+    cuts = quotas.join(last.select("labels", *own, F.col("place").alias("cut_place"), F.col("item_id").alias("cut_id")), ["labels", *own], "left")
+    out = df.join(F.broadcast(cuts.drop("quota")), "labels")
+    head = F.coalesce(F.struct(order.alias("p"), F.col("item_id").alias("i")) <= F.struct(F.col("cut_place").alias("p"), F.col("cut_id").alias("i")), F.lit(False))
+    return out.withColumn("head", head & F.col("cut_id").isNotNull()).drop("cut_place", "cut_id")
 
 
 def head_split(df: DataFrame, fraction: float | None = None, total: int | None = None) -> DataFrame:
@@ -30,9 +58,9 @@ def head_split(df: DataFrame, fraction: float | None = None, total: int | None =
         raise ValueError("give a fraction or a total")
     if fraction is not None and not 0 < fraction < 1:
         raise ValueError("a fraction lies between 0 and 1")
-    r = _ranked(df, F.col("item_id"))
     quota = F.floor(F.col("cnt") * F.lit(fraction)) if fraction is not None else F.least(F.floor(F.lit(total) / F.col("n_labels")), F.col("cnt"))
-    return r.withColumn("split", F.when(F.col("rn") <= quota, "test").otherwise("train")).drop("rn", "cnt", "li", "n_labels")
+    r = _heads(df, _sizes(df).select("labels", quota.alias("quota")))
+    return r.withColumn("split", F.when(F.col("head"), "test").otherwise("train")).drop("head")
 
 
 def with_test_idx(test: DataFrame) -> DataFrame:
@@ -54,25 +82,22 @@ def stratified_subsample(df: DataFrame, n: int, seed: int) -> DataFrame:
 
 def subsample_sweep(df: DataFrame, sizes: list[int], seed: int) -> DataFrame:
     """Nested subsamples of several sizes in long form (pool_size)."""
-    r = _ranked(df, shuffled(seed, "item_id"))
-    each = r.withColumn("pool_size", F.explode(F.array(*(F.lit(int(s)) for s in sizes))))
+    each = _sizes(df).withColumn("pool_size", F.explode(F.array(*(F.lit(int(s)) for s in sizes))))
     quota = F.floor(F.col("pool_size") / F.col("n_labels")) + F.when(F.col("li") < F.col("pool_size") % F.col("n_labels"), 1).otherwise(0)
-    return each.where(F.col("rn") <= quota).drop("rn", "cnt", "li", "n_labels")
+    r = _heads(df, each.select("labels", "pool_size", F.least(quota, F.col("cnt")).alias("quota")), seed)
+    return r.where("head").drop("head")
 
 
 def quota_check(df: DataFrame, n: int) -> DataFrame:
     """Labels whose quota is larger than the label."""
-    r = df.groupBy("labels").agg(F.count("*").alias("available"))
-    everywhere = Window.partitionBy(F.lit(0))
-    r = r.withColumn("li", F.row_number().over(everywhere.orderBy("labels")) - 1).withColumn("n_labels", F.count("*").over(everywhere))
     quota = F.floor(F.lit(n) / F.col("n_labels")) + F.when(F.col("li") < F.lit(n) % F.col("n_labels"), 1).otherwise(0)
-    return r.select("labels", "available", quota.cast("long").alias("quota")).where("quota > available")
+    return _sizes(df).select("labels", F.col("cnt").alias("available"), quota.cast("long").alias("quota")).where("quota > available")
 
 
 def per_label_sample(df: DataFrame, n: int, seed: int) -> DataFrame:
     """n // L rows of each label in md5 order, no remainder."""
-    r = _ranked(df, shuffled(seed, "item_id"))
-    return r.where(F.col("rn") <= F.floor(F.lit(n) / F.col("n_labels"))).drop("rn", "cnt", "li", "n_labels")
+    quota = F.least(F.floor(F.lit(n) / F.col("n_labels")), F.col("cnt"))
+    return _heads(df, _sizes(df).select("labels", quota.alias("quota")), seed).where("head").drop("head")
 
 
 def random_subset(df: DataFrame, n: int, seed: int) -> DataFrame:

@@ -6,60 +6,57 @@ invalid output are left out first.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marrow.functions import LABELS, fold_label, ratio
 
 
-def _scores(preds: DataFrame, by: list[str]) -> DataFrame:
-    t, p = fold_label("ground_truth"), fold_label("predicted_label")
-    x = preds.select(*by, t.alias("t"), p.alias("p"))
+def _counts(preds: DataFrame, by: list[str]) -> DataFrame:
+    """All counts that either convention needs, in one partial aggregate; ok_* are those of rows with a valid prediction."""
+    x = preds.select(*by, fold_label("ground_truth").alias("t"), fold_label("predicted_label").alias("p"))
     n = lambda c: F.count(F.when(c, 1))
+    ok = F.col("p").isin(*LABELS)
     counts = [F.count("*").alias("n"), n(F.col("p") == "invalid").alias("n_invalid"), n(F.col("t") == F.col("p")).alias("right")]
+    counts += [n(ok).alias("ok_n"), n(ok & (F.col("t") == F.col("p"))).alias("ok_right")]
     for v in LABELS:
-        counts += [n((F.col("t") == v) & (F.col("p") == v)).alias(f"tp_{v}"), n(F.col("p") == v).alias(f"pp_{v}"), n(F.col("t") == v).alias(f"support_{v}")]
-    g = x.groupBy(*by).agg(*counts)
-    for v in LABELS:
-        g = g.withColumn(f"p_{v}", ratio(F.col(f"tp_{v}"), F.col(f"pp_{v}"))).withColumn(f"r_{v}", ratio(F.col(f"tp_{v}"), F.col(f"support_{v}")))
-        g = g.withColumn(f"f_{v}", ratio(F.col(f"p_{v}") * F.col(f"r_{v}") * 2, F.col(f"p_{v}") + F.col(f"r_{v}")))
-    return g
+        counts += [n((F.col("t") == v) & (F.col("p") == v)).alias(f"tp_{v}"), n(F.col("p") == v).alias(f"pp_{v}"), n(F.col("t") == v).alias(f"support_{v}"), n(ok & (F.col("t") == v)).alias(f"ok_support_{v}")]
+    return x.groupBy(*by).agg(*counts)
 
 
-def _report(g: DataFrame, by: list[str], invalid, digits: int = 4) -> DataFrame:
+def _measures(ok: str = "", digits: int = 4) -> dict[str, Column]:
+    """accuracy, and precision, recall, F1 and support per class, macro and weighted; ``ok`` "ok_" for valid rows only."""
     r = lambda c: F.round(c, digits)
-    supports = sum((F.col(f"support_{v}") for v in LABELS[1:]), F.col(f"support_{LABELS[0]}"))
-    out = [F.col("n").alias("total_issues"), F.col("n_invalid").alias("invalid_count"), r(invalid).alias("invalid_rate"), r(ratio(F.col("right"), F.col("n"))).alias("accuracy")]
+    support = {v: F.col(f"{ok}support_{v}") for v in LABELS}
+    x = {"precision": {v: ratio(F.col(f"tp_{v}"), F.col(f"pp_{v}")) for v in LABELS}, "recall": {v: ratio(F.col(f"tp_{v}"), support[v]) for v in LABELS}}
+    x["f1"] = {v: ratio(x["precision"][v] * x["recall"][v] * 2, x["precision"][v] + x["recall"][v]) for v in LABELS}
+    total = lambda cs: reduce(lambda a, b: a + b, cs)
+    out = {"accuracy": r(ratio(F.col(f"{ok}right"), F.col(f"{ok}n")))}
     for v in LABELS:
-        out += [r(F.col(f"p_{v}")).alias(f"precision_{v}"), r(F.col(f"r_{v}")).alias(f"recall_{v}"), r(F.col(f"f_{v}")).alias(f"f1_{v}"), F.col(f"support_{v}")]
-    for s, name in (("p", "precision"), ("r", "recall"), ("f", "f1")):
-        total = sum((F.col(f"{s}_{v}") for v in LABELS[1:]), F.col(f"{s}_{LABELS[0]}"))
-        weighted = sum((F.col(f"{s}_{v}") * F.col(f"support_{v}") for v in LABELS[1:]), F.col(f"{s}_{LABELS[0]}") * F.col(f"support_{LABELS[0]}"))
-        out += [r(total / len(LABELS)).alias(f"{name}_macro"), r(ratio(weighted, supports)).alias(f"{name}_weighted")]
-    return g.select(*by, *out)
+        out |= {f"{name}_{v}": r(x[name][v]) for name in x} | {f"support_{v}": support[v]}
+    for name in x:
+        out[f"{name}_macro"] = r(total(x[name].values()) / len(LABELS))
+        out[f"{name}_weighted"] = r(ratio(total(x[name][v] * support[v] for v in LABELS), total(support.values())))
+    return out
+
+
+def _named(columns: dict[str, Column]) -> list[Column]:
+    return [c.alias(name) for name, c in columns.items()]
 
 
 def evaluate_strict(preds: DataFrame, by: list[str]) -> DataFrame:
     """One row per group: counts, accuracy, precision, recall, F1 per class, macro and weighted; one partial aggregate."""
-    g = _scores(preds, by)
-    return _report(g, by, ratio(F.col("n_invalid"), F.col("n")))
+    head = {"total_issues": F.col("n"), "invalid_count": F.col("n_invalid"), "invalid_rate": F.round(ratio(F.col("n_invalid"), F.col("n")), 4)}
+    return _counts(preds, by).select(*by, *_named(head | _measures()))
 
 
 def evaluate_valid(preds: DataFrame, by: list[str], percent: bool = False) -> DataFrame:
     """The same over rows with a valid prediction; invalid_* describe all rows (as percent with two digits if asked)."""
-    p = fold_label("predicted_label")
-    valid = p.isin(*LABELS)
-    every = preds.groupBy(*by).agg(F.count("*").alias("all_rows"), F.count(F.when(~valid, 1)).alias("bad_rows"))
-    g = _scores(preds.where(valid), by).drop("n_invalid")
-    on = [F.col(f"e_{b}").eqNullSafe(F.col(b)) for b in by]
-    every = every.select(*(F.col(b).alias(f"e_{b}") for b in by), "all_rows", "bad_rows")
-    both = g.join(every, on).withColumn("n_invalid", F.col("bad_rows"))
-    rate = ratio(F.col("bad_rows"), F.col("all_rows"))
-    out = _report(both, by, rate)
-    if not percent:
-        return out
-    pct = both.select(*(F.col(b).alias(f"x_{b}") for b in by), F.round(rate * 100, 2).alias("pct"))
-    return out.drop("invalid_rate").join(pct, [F.col(f"x_{b}").eqNullSafe(F.col(b)) for b in by]).withColumnRenamed("pct", "invalid_rate").drop(*(f"x_{b}" for b in by))
+    bad = F.col("n") - F.col("ok_n")
+    rate = F.round(ratio(bad, F.col("n")) * 100, 2) if percent else F.round(ratio(bad, F.col("n")), 4)
+    return _counts(preds, by).where("ok_n > 0").select(*by, *_named({"total_issues": F.col("ok_n"), "invalid_count": bad, "invalid_rate": rate} | _measures("ok_")))
 
 
 def confusion(preds: DataFrame, by: list[str]) -> DataFrame:
@@ -77,8 +74,8 @@ def class_report(scores: DataFrame, by: list[str]) -> DataFrame:
 
 
 def convention_gap(preds: DataFrame, by: list[str]) -> DataFrame:
-    """Strict minus valid-only macro-F1 and accuracy per run."""
-    s = evaluate_strict(preds, by).select(*by, F.col("f1_macro").alias("f1_strict"), F.col("accuracy").alias("accuracy_strict"))
-    v = evaluate_valid(preds, by).select(*by, F.col("f1_macro").alias("f1_valid"), F.col("accuracy").alias("accuracy_valid"))
-    j = s.join(v, by)
-    return j.select(*by, "f1_strict", "f1_valid", F.round(F.col("f1_strict") - F.col("f1_valid"), 4).alias("f1_gap"), F.round(F.col("accuracy_strict") - F.col("accuracy_valid"), 4).alias("accuracy_gap"))
+    """Strict minus valid-only macro-F1 and accuracy per run, from one aggregate."""
+    strict, valid = _measures(), _measures("ok_")
+    gap = lambda name: F.round(strict[name] - valid[name], 4)
+    out = {"f1_strict": strict["f1_macro"], "f1_valid": valid["f1_macro"], "f1_gap": gap("f1_macro"), "accuracy_gap": gap("accuracy")}
+    return _counts(preds, by).where("ok_n > 0").select(*by, *_named(out))
