@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marrow.functions import LABELS, SYNONYMS, TOKEN, canonical_label, clean_text, content_key, n_tokens
+from marrow import sources
+from marrow.functions import LABELS, SYNONYMS, TOKEN, canonical_label, content_key, dot, l2_normalize, n_tokens
 from marrow.operators import calibrate, curate, debias, directions, errors, parse, prompts, retrieve, runs, sample, score, vote
 from marrow.plans.fixtures import CONTEXTS, KS, frame, with_views
 
@@ -176,13 +177,65 @@ def _(v):
     return n.select("test_id", F.array_join(F.transform("neighbors", lambda x: F.concat(x["neighbor_rank"].cast("string"), F.lit(":"), x["neighbor_label"])), ",").alias("near"))
 
 
-@query("a4_a5_tag_runs", """SELECT path, CAST(nullif(regexp_extract(path, '_ctx([0-9]+)', 1), '') AS BIGINT) AS tag_context,
+#: Paths of one output file for each document: dataset folder, seed (for some), approach, file.
+VIEWS["doc_paths"] = """SELECT doc_id AS item_id, concat(coalesce(source, 'none'), '_ctx', CAST(1024 * (1 + doc_id % 8) AS VARCHAR), CASE WHEN doc_id % 5 = 0 THEN '' ELSE concat('/seed', CAST(doc_id % 3 AS VARCHAR)) END,
+    CASE doc_id % 4 WHEN 0 THEN '/few_shot_fixed' WHEN 1 THEN '/finetune_flawed' WHEN 2 THEN '/finetune_fixed' ELSE '/vote' END, '/', coalesce(lang, 'xx'), '.csv') AS path FROM {documents}"""
+
+
+@query("a4_a5_tag_runs", """SELECT item_id, path, CAST(nullif(regexp_extract(path, '_ctx([0-9]+)', 1), '') AS BIGINT) AS tag_context,
     CASE WHEN contains(path, 'few_shot') THEN 'few_shot' WHEN contains(path, 'flawed') THEN 'fine_tune_flawed' WHEN contains(path, 'fixed') THEN 'fine_tune_fixed' ELSE 'unknown' END AS tag_approach,
-    split_part(path, '/', 1) AS tag_dataset, split_part(path, '/', 2) AS tag_seed, count(*) AS n_rows
-    FROM {run_paths} CROSS JOIN {documents} GROUP BY 1""")
+    split_part(path, '/', 1) AS tag_dataset, split_part(path, '/', 2) AS tag_seed FROM {doc_paths}""")
+def _(v):
+    d = v("documents")
+    n = F.col("doc_id")
+    seed = F.when(n % 5 == 0, "").otherwise(F.concat(F.lit("/seed"), (n % 3).cast("string")))
+    kind = F.when(n % 4 == 0, "/few_shot_fixed").when(n % 4 == 1, "/finetune_flawed").when(n % 4 == 2, "/finetune_fixed").otherwise("/vote")
+    path = F.concat(F.coalesce("source", F.lit("none")), F.lit("_ctx"), (1024 * (1 + n % 8)).cast("string"), seed, kind, F.lit("/"), F.coalesce("lang", F.lit("xx")), F.lit(".csv"))
+    return runs.tag_runs(runs.tag_context(d.select(n.alias("item_id"), path.alias("path"))))
+
+
+def _folder(v: View) -> str:
+    return sources.shared_folder(v("documents").sparkSession)
+
+
+@query("a1_read_items", f"SELECT item_id, coalesce(title, '') AS title, coalesce(body, '') AS body, lower({strip('labels')}) AS labels FROM {{issues_all}}")
 def _(v):
-    paths = v("run_paths").crossJoin(v("documents").agg(F.count("*").alias("n_rows")))
-    return runs.tag_runs(runs.tag_context(paths)).select("path", "tag_context", "tag_approach", "tag_dataset", "tag_seed", "n_rows")
+    d, path = v("issues_all"), _folder(v)
+    sources.write(d, path, "csv")
+    return sources.read_items(d.sparkSession, path)
+
+
+@query("a7_write_splits", """SELECT concat(split, '_split') AS part, item_id, title, body, labels FROM {split_items}
+    UNION ALL SELECT concat(split, '_split_info'), item_id, title, NULL, labels FROM {split_items}""")
+def _(v):
+    s, path = split_items(v), _folder(v)
+    sources.write_splits(s, path)
+    back = [s.sparkSession.read.parquet(f"{path}/{x}").withColumn("part", F.lit(x)) for x in ("train_split", "test_split", "train_split_info", "test_split_info")]
+    return runs.concat_runs(back).select("part", "item_id", "title", "body", "labels")
+
+
+@query("a8_write_neighbors", "SELECT k, test_id, neighbor_rank, neighbor_label, round(similarity, 6) AS similarity FROM {neighbors} CROSS JOIN (SELECT unnest([1, 5, 9]) AS k) WHERE neighbor_rank < k")
+def _(v):
+    n, path = retrieve.explode_k(neighbors(v), [1, 5, 9]), _folder(v)
+    sources.write_neighbors(n, path)
+    return n.sparkSession.read.parquet(path).select(F.col("k").cast("long").alias("k"), "test_id", "neighbor_rank", "neighbor_label", F.round("similarity", 6).alias("similarity"))
+
+
+@query("a9_write_predictions", f"SELECT p.*, r.f1_macro FROM {{preds9}} p CROSS JOIN ({eval_sql('(SELECT 1 AS run, * FROM {preds9})', 'run')}) r")
+def _(v):
+    path = _folder(v)
+    sources.write_predictions(preds9(v), f"{path}/predictions", "csv")
+    back = sources.read_csv(v("documents").sparkSession, f"{path}/predictions", "item_id long, ground_truth string, predicted_label string")
+    sources.write(score.evaluate_strict(back.withColumn("run", F.lit(1)), ["run"]), f"{path}/runs")
+    return back.join(F.broadcast(back.sparkSession.read.parquet(f"{path}/runs").select("f1_macro")))  # one row
+
+
+@query("a11_skip_existing", "SELECT item_id, labels FROM {split_items} WHERE split = 'test'")
+def _(v):
+    s, path = split_items(v).select("item_id", "labels", "split"), _folder(v)
+    sources.write(s.where("split = 'test'").drop("split"), path, mode="ignore")
+    sources.write(s.where("split = 'train'").drop("split"), path, mode="ignore")  # exists: nothing is written
+    return s.sparkSession.read.parquet(path)
 
 
 @query("a6_concat_runs", "SELECT model, top_k, f1_macro, NULL::DOUBLE AS wall_time_s FROM {runs} UNION ALL SELECT model, top_k, NULL, wall_time_s FROM {cost_runs}")
@@ -253,9 +306,9 @@ def _(v):
     return curate.dedup_rows(v("issues_all").select("title", "labels"))
 
 
-@query("b10_config_conflicts", "SELECT context_window, model, top_k, count(*) AS n_rows FROM (SELECT context_window, model, top_k FROM {pred_grid} WHERE ground_truth = 'bug' AND predicted_label = 'invalid') GROUP BY 1, 2, 3 HAVING count(*) > 1")
+@query("b10_config_conflicts", "SELECT context_window, model, top_k, count(*) AS n_rows FROM {pred_grid} GROUP BY 1, 2, 3 HAVING count(*) > 1")
 def _(v):
-    return curate.config_conflicts(v("pred_grid").where("ground_truth = 'bug' and predicted_label = 'invalid'"))
+    return curate.config_conflicts(v("pred_grid"))
 
 
 @query("b10_config_counts", "SELECT context_window, count(DISTINCT model) AS n_models, count(DISTINCT top_k) AS n_ks FROM {pred_grid} GROUP BY 1")
@@ -325,8 +378,6 @@ def _(v):
 
 @query("d1_l2_normalize", "SELECT item_id, round(list_sum(v), 6) AS total, round(v[1], 6) AS first_x FROM {unit}")
 def _(v):
-    from marrow.functions import l2_normalize
-
     u = v("vec_items").select("item_id", l2_normalize("vector").alias("u"))
     return u.select("item_id", F.round(F.aggregate("u", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(F.get("u", F.lit(0)), 6).alias("first_x"))
 
@@ -362,10 +413,25 @@ def _(v):
     return retrieve.match_pairs(v("vec_items"), "bug", "question").withColumn("similarity", F.round("similarity", 6))
 
 
-@query("d7_knn_lsh")
+def cells(v: View) -> DataFrame:
+    s = split_vec(v)
+    return retrieve.knn_cells(s.where("split = 'test'"), s.where("split = 'train'"), 10)
+
+
+@query("d7_knn_cells", """SELECT q.item_id AS test_id, least(10, n) AS n_neighbors, true AS ranks_complete, true AS exact_similarity
+    FROM {split_vec} q CROSS JOIN (SELECT count(*) AS n FROM {split_vec} WHERE split = 'train') WHERE q.split = 'test'""")
+def _(v):
+    u = v("vec_items").select("item_id", l2_normalize("vector").alias("u"))
+    r = cells(v).join(u.select(F.col("item_id").alias("test_id"), F.col("u").alias("a")), "test_id").join(u.select(F.col("item_id").alias("neighbor_id"), F.col("u").alias("b")), "neighbor_id")
+    return r.groupBy("test_id").agg(F.count("*").alias("n_neighbors"), (F.count_distinct("neighbor_rank", "neighbor_id") == F.max("neighbor_rank") + 1).alias("ranks_complete"), F.every(F.abs(F.col("similarity") - dot("a", "b")) < 1e-9).alias("exact_similarity"))
+
+
+@query("d7_recall", "SELECT count(*) * least(10, (SELECT count(*) FROM {split_vec} WHERE split = 'train')) AS n_true, true AS recall_090 FROM {split_vec} WHERE split = 'test'")
 def _(v):
     s = split_vec(v)
-    return retrieve.knn_lsh(s.where("split = 'test'"), s.where("split = 'train'"), 10)
+    exact = retrieve.knn_join(s.where("split = 'test'"), s.where("split = 'train'"), 10).select("test_id", "neighbor_id")
+    found = cells(v).select("test_id", "neighbor_id", F.lit(1).alias("found"))
+    return exact.join(found, ["test_id", "neighbor_id"], "left").agg(F.count("*").alias("n_true"), (F.count("found") >= F.count("*") * 0.9).alias("recall_090"))
 
 
 @query("e1_e5_vote_sweep", "SELECT scheme, k, test_id, ground_truth, predicted_label FROM {votes}")
@@ -579,7 +645,7 @@ def _(v):
     return prompts.truncate_examples(few(v), _BUDGET).select("test_id", prompts.build_prompt().alias("prompt"))
 
 
-@query("f7_to_messages")
+@query("f7_to_messages", f"""SELECT item_id, CAST(to_json([struct_pack(role := 'system', content := {lit(prompts.SYSTEM_THINKING)}), struct_pack(role := 'user', content := {item()}), struct_pack(role := 'assistant', content := {lit(prompts.PREFILL)})]) AS VARCHAR) AS messages FROM {{issues_all}}""")
 def _(v):
     d = v("issues_all").select("item_id", prompts.render_item("title", "body").alias("user"))
     return d.select("item_id", prompts.to_messages(F.col("user"), thinking=True, prefill=True).alias("messages"))
@@ -788,15 +854,19 @@ def _(v):
     return runs.ablation_table(score.evaluate_strict(votes(v), ["scheme", "k"]), "scheme", VOTE_KS)
 
 
-def _gap_side(lo: bool) -> str:
-    return eval_sql(f"(SELECT 'x' AS side, * FROM {{pred_grid}} WHERE item_id % 3 {'<' if lo else '='} 2 OR item_id % 7 = 0)" if lo else "(SELECT 'x' AS side, * FROM {pred_grid} WHERE item_id % 5 < 3)", "side")
+#: Two groups of runs that together are all runs.
+_SMALL = "model IN ('model-3b', 'model-8b')"
+
+
+def _gap_side(small: bool) -> str:
+    return eval_sql(f"(SELECT 'x' AS side, * FROM {{pred_grid}} WHERE {'' if small else 'NOT '}{_SMALL})", "side")
 
 
 @query("j22_dataset_gap", f"SELECT label, f1_a, f1_b, delta, round(coalesce(delta / nullif(sum(delta) OVER (), 0), 0), 4) AS gap_share FROM (SELECT *, round(f1_b - f1_a, 4) AS delta FROM (" + " UNION ALL ".join(f"SELECT '{x}' AS label, a.f1_{x} AS f1_a, b.f1_{x} AS f1_b FROM ({_gap_side(True)}) a, ({_gap_side(False)}) b" for x in LABELS) + "))")
 def _(v):
     p = v("pred_grid").withColumn("side", F.lit("x"))
-    a = score.evaluate_strict(p.where("item_id % 3 < 2 or item_id % 7 = 0"), ["side"])
-    return runs.dataset_gap(a, score.evaluate_strict(p.where("item_id % 5 < 3"), ["side"]))
+    a = score.evaluate_strict(p.where(_SMALL), ["side"])
+    return runs.dataset_gap(a, score.evaluate_strict(p.where(f"not {_SMALL}"), ["side"]))
 
 
 @query("j23_short_names", f"SELECT {RUN}, CASE model WHEN 'model-3b' THEN '3B' WHEN 'model-8b' THEN '8B' WHEN 'model-14b' THEN '14B' WHEN 'model-32b' THEN '32B' WHEN 'vote-similarity' THEN 'vote' ELSE model END AS short_name FROM {{runs}}")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +14,20 @@ NEIGHBOR_COLUMNS = ("test_id", "neighbor_rank", "similarity", "neighbor_label")
 PREDICTION_COLUMNS = ("ground_truth", "predicted_label")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder name below spark.checkpoint.dir, which all executors share.
+
+    Where that isn't set, a local master gets a temporary folder (tests); a cluster gets an
+    error, since its executors would each write to a disk of their own.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
+    return f"{named}/{uuid.uuid4().hex}"
+
+
 def check_columns(df: DataFrame, wanted: tuple[str, ...]) -> DataFrame:
     missing = [c for c in wanted if c not in df.columns]
     if missing:
