@@ -115,14 +115,14 @@ class HashIndex:
         return out
 
 
-#: Rows of a side that may be broadcast, at some 100 bytes each; a larger side is left to a shuffle join.
-SMALL_ROWS = 100_000
+#: Most bytes of a side that is broadcast; a larger side is left to a shuffle join.
+SMALL_BYTES = 10_000_000
 
 
-def small_side(df: DataFrame, weight: Column | None = None) -> DataFrame:
-    """A written table as the small side of a join: broadcast if it has SMALL_ROWS rows or fewer, else as it is.
+def small_side(df: DataFrame, row_bytes: Column | int = 100) -> DataFrame:
+    """A written table as the small side of a join: broadcast if its rows have SMALL_BYTES or fewer in all, else as it is.
 
-    ``weight`` is for rows of no fixed size: how many small rows each is worth (one is added).
+    ``row_bytes`` is the size of a row; a column where rows hold arrays.
     """
-    n = df.count() if weight is None else df.agg(F.coalesce(F.sum(weight.cast("long") + 1), F.lit(0))).first()[0]
-    return F.broadcast(df) if n <= SMALL_ROWS else df
+    size = df.count() * row_bytes if isinstance(row_bytes, int) else df.agg(F.coalesce(F.sum(row_bytes.cast("long")), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= SMALL_BYTES else df
