@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import re
 import tempfile
 import uuid
 
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 WHITE = b" \t\n\x0b\x0c\r"
 #: Documents above this many characters are left out of training samples (never out of scoring).
 SAMPLE_CHARS = 65_536
+#: Most rows and characters of a training sample, all labels together.
+SAMPLE_ROWS, SAMPLE_TOTAL = 20_000, 64_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,11 +26,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where a local session leaves it unset (tests).
+
+    A cluster without that setting is an error: executors would write to disks of their own.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     held = sc._jsc.sc().getCheckpointDir()
     if held.isEmpty():
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp"))
         held = sc._jsc.sc().getCheckpointDir()
     return named or held.get()
@@ -52,19 +60,31 @@ def crc_mod(id_col: str | Column, n: int) -> Column:
     return F.crc32(c.cast("string")) % n
 
 
-def labelled_sample(docs: DataFrame, ids: DataFrame, per_label: int, id_col: str = "doc_id", text_col: str = "text", salt: str = "sample") -> list[tuple]:
+def labelled_sample(docs: DataFrame, per_label: int, labels: DataFrame | None = None, label_col: str = "label", id_col: str = "doc_id", text_col: str = "text", salt: str = "sample") -> list[tuple]:
     """At most ``per_label`` rows (label, text) of each label, in an order fixed by a hash of the id.
 
-    ``ids`` has the columns (id, label).  The ranking moves ids alone; only the texts of
-    the chosen ids are read.  The result is bounded by per_label * labels rows of at most
-    SAMPLE_CHARS characters, so it may go to the driver.
+    Labels come from ``labels`` (id, label), or from the column ``label_col`` of docs.  Rows
+    without id, label or text and rows of over SAMPLE_CHARS characters are left out before
+    the choice.  An id that comes with several labels or texts has the least of each, so the
+    sample doesn't depend on the order of tasks.  Counts by prefix of the hash tell where a
+    label's sample ends, so only that many ids are ranked.  The result may go to the driver:
+    it holds at most SAMPLE_ROWS rows and SAMPLE_TOTAL characters, shared equally by labels.
     """
-    w = Window.partitionBy("label").orderBy(F.xxhash64(F.lit(salt), F.col("id").cast("string")), F.col("id").cast("string"))
-    ranked = ids.where(F.col("label").isNotNull() & F.col("id").isNotNull()).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per_label)
-    chosen = ranked.select("id", "label").dropDuplicates(["id"])
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    rows = texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).orderBy("id").collect()
-    return [(r["label"], r["text"]) for r in rows]
+    src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), *([docs[label_col].alias("label")] if labels is None else []))
+    src = src.where(F.col("id").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
+    keys = src.select("id", F.length("text").alias("n"), *(["label"] if labels is None else []))
+    keys = keys if labels is None else keys.join(labels.select("id", "label"), "id")
+    keys = checkpointed(keys.where("label is not null").groupBy("id").agg(F.min("label").alias("label"), F.min("n").alias("n")).withColumn("h", F.xxhash64(F.lit(salt), F.col("id").cast("string"))))
+    counts = keys.groupBy("label", F.shiftright("h", 52).alias("prefix")).agg(F.count("*").alias("rows"))
+    w = Window.partitionBy("label").orderBy("prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cuts = counts.withColumn("upto", F.sum("rows").over(w)).where(F.col("upto") - F.col("rows") < per_label).groupBy("label").agg(F.max("prefix").alias("last"))
+    near = keys.join(small_side(checkpointed(cuts)), "label").where(F.shiftright("h", 52) <= F.col("last"))
+    n_labels = max(1, cuts.count())
+    order = Window.partitionBy("label").orderBy("h", F.col("id").cast("string"))
+    ranked = near.withColumn("rn", F.row_number().over(order)).withColumn("chars", F.sum("n").over(order))
+    chosen = checkpointed(ranked.where((F.col("rn") <= min(per_label, SAMPLE_ROWS // n_labels)) & (F.col("chars") <= SAMPLE_TOTAL // n_labels)).select("id", "label"))
+    texts = src.select("id", "text").join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text"))  # at most SAMPLE_ROWS rows
+    return [(r["label"], r["text"]) for r in sorted(texts.collect(), key=lambda r: r["id"])]
 
 
 def broadcast_object(spark: SparkSession, value):

@@ -15,13 +15,16 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marrow.llm.common import checkpointed
+from marrow.llm.common import checkpointed, small_side
 
 SCALE = 10**12
 DAMPING = 0.85
-ITERATIONS = 20
 #: A sum of changes below this share of SCALE ends the iteration.
 TOLERANCE = 1e-6
+#: Guard against an endless loop: DAMPING ** 100 is a tenth of TOLERANCE, so it isn't met.
+ITERATIONS = 100
+#: Up to so many rules are one expression; more are joined by host.
+EXPRESSION_RULES = 200
 #: Hosts in absolute links; a relative link stays on its host and is no edge.
 LINK = r"(?i)\b(?:href|src)\s*=\s*[\"']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"'\s<>]+)"
 
@@ -39,10 +42,15 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def site_of(host: Column) -> Column:
+    """A host without user and port: what links name."""
+    return F.regexp_replace(host, r"^.*@|:\d+$", "")
+
+
 def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(src, dst, w): distinct host edges with their number of links; no loops."""
-    each = pages.select(host_of(pages[url_col]).alias("src"), F.explode(F.regexp_extract_all(pages[html_col], F.lit(LINK), F.lit(1))).alias("to"))
-    edges = each.select("src", F.regexp_replace(_lower(F.col("to")), r"^.*@|:\d+$", "").alias("dst"))
+    """(src, dst, w): distinct edges of hosts (without user and port) with their number of links; no loops."""
+    each = pages.select(site_of(host_of(pages[url_col])).alias("src"), F.explode(F.regexp_extract_all(pages[html_col], F.lit(LINK), F.lit(1))).alias("to"))
+    edges = each.select("src", site_of(_lower(F.col("to"))).alias("dst"))
     return edges.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("w"))
 
 
@@ -84,6 +92,20 @@ def rule_table(spark, rules: list[tuple[str, str]]) -> DataFrame:
     return spark.createDataFrame([(r, r.partition("/")[0], "/" + r.partition("/")[2], v) for v, r in rules], "rule string, rhost string, rpath string, verdict string")
 
 
+def _ruled(p: DataFrame, rules: DataFrame) -> DataFrame:
+    """p (host, path, ..) with the longest fitting rule as r (rule, verdict)."""
+    few = rules.limit(EXPRESSION_RULES + 1).collect()
+    if len(few) <= EXPRESSION_RULES:
+        r = F.lit(None).cast("struct<rule:string,verdict:string>")
+        for x in sorted(few, key=lambda x: (len(x["rule"]), x["rule"])):
+            fits = ((F.col("host") == x["rhost"]) | F.endswith(F.col("host"), F.lit("." + x["rhost"]))) & F.startswith(F.col("path"), F.lit(x["rpath"]))
+            r = F.when(fits, F.struct(F.lit(x["rule"]).alias("rule"), F.lit(x["verdict"]).alias("verdict"))).otherwise(r)
+        return p.withColumn("r", r)
+    by_host = host_rules(p.select("host").distinct(), rules)
+    first = F.get(F.filter("rules", lambda r: F.startswith(F.col("path"), r["rpath"])), F.lit(0))
+    return p.join(by_host, "host", "left").withColumn("r", F.struct(first["rule"].alias("rule"), first["verdict"].alias("verdict"))).drop("rules")
+
+
 def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = 0.0, iterations: int = ITERATIONS) -> DataFrame:
     """One row per input row: id, host, path, rule (null: none), verdict, trust and distrust of the host (shares).
 
@@ -93,15 +115,13 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     are judged each; other columns are not read.
     """
     p = pages.select(pages[id_col].alias("id"), host_of(pages[url_col]).alias("host"), path_of(pages[url_col]).alias("path"))
-    by_host = host_rules(p.select("host").distinct(), rules)
-    fits = F.get(F.filter("rules", lambda r: F.startswith(F.col("path"), r["rpath"])), F.lit(0))
-    ruled = checkpointed(p.join(by_host, "host", "left").select("id", "host", "path", fits.alias("r")).select("id", "host", "path", "r.rule", F.col("r.verdict").alias("said")))
-    seeds = checkpointed(ruled.where("rule is not null").groupBy("host").agg(F.count(F.when(F.col("said") == "allow", 1)).alias("good"), F.count(F.when(F.col("said") == "block", 1)).alias("bad")))
+    ruled = _ruled(p, rules).select("id", "host", "path", site_of(F.col("host")).alias("site"), "r.rule", F.col("r.verdict").alias("said"))
+    seeds = checkpointed(ruled.where("rule is not null").groupBy(F.col("site").alias("host")).agg(F.count(F.when(F.col("said") == "allow", 1)).alias("good"), F.count(F.when(F.col("said") == "block", 1)).alias("bad")))
     edges = checkpointed(links(pages, url_col, html_col))
     trust = rank(edges, seeds.select("host", F.col("good").alias("seed")), iterations).withColumnRenamed("rank", "trust")
     against = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
     distrust = rank(against, seeds.select("host", F.col("bad").alias("seed")), iterations).withColumnRenamed("rank", "distrust")
-    of_host = trust.join(distrust, "host", "full").select("host", *((F.coalesce(c, F.lit(0)) / SCALE).alias(c) for c in ("trust", "distrust")))
-    out = ruled.join(of_host, "host", "left")
+    of_host = trust.join(distrust, "host", "full").select(F.col("host").alias("site"), *((F.coalesce(c, F.lit(0)) / SCALE).alias(c) for c in ("trust", "distrust")))
+    out = ruled.join(small_side(checkpointed(of_host)), "site", "left")
     method = F.when(F.coalesce(F.col("distrust") - F.col("trust"), F.lit(0.0)) > threshold, "block").otherwise("allow")
     return out.select("id", "host", "path", "rule", F.coalesce("said", method).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

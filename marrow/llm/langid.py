@@ -31,7 +31,6 @@ CHUNK_BYTES = 1 << 18
 #: Bytes whose evidence counts for the score.
 EVIDENCE_BYTES = 40
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 
@@ -150,7 +149,8 @@ def train(sample: list[tuple[str, str]], order: int = ORDER) -> PpmModel | None:
 
 
 def has_letter(text: bytes | None) -> bool:
-    return bool(text) and bool(_ASCII_LETTER.search(text) or _LETTER.search(text.decode("utf-8", "replace")))
+    """Has the text a character of a letter category?  (Digits and fractions in other scripts have none.)"""
+    return bool(text) and bool(_ASCII_LETTER.search(text) or any(map(str.isalpha, text.decode("utf-8", "replace"))))
 
 
 def identify(docs: DataFrame, model: PpmModel | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

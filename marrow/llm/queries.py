@@ -24,7 +24,7 @@ def _held_out(n: int, rest: int):
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     ids = labels.where(F.col("toxic").isin(0, 1) & (crc_mod("doc_id", 3) != 1)).select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
-    model = toxicity.train(labelled_sample(docs, ids, toxicity.SAMPLE_PER_LABEL, salt="toxicity"))
+    model = toxicity.train(labelled_sample(docs, toxicity.SAMPLE_PER_LABEL, ids, salt="toxicity"))
     s = toxicity.score(docs, model)
     return s.select(F.col("id").alias("doc_id"), _held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "top_saving", "n_windows")
 
@@ -41,9 +41,8 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def train_langid(docs: DataFrame, held_out: int | None = None) -> langid.PpmModel | None:
     """A model of at most SAMPLE_PER_LANG documents of each language (remainder ``held_out`` of 4 left out)."""
-    ids = docs if held_out is None else docs.where(crc_mod("doc_id", 4) != held_out)
-    ids = ids.select(F.col("doc_id").alias("id"), F.col("lang").alias("label"))
-    return langid.train(labelled_sample(docs, ids, langid.SAMPLE_PER_LANG, salt="langid"))
+    own = docs if held_out is None else docs.where(crc_mod("doc_id", 4) != held_out)
+    return langid.train(labelled_sample(own, langid.SAMPLE_PER_LANG, label_col="lang", salt="langid"))
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -271,6 +271,24 @@ def test_langid_edges(spark, edge):
     got = {r["id"]: r for r in langid.identify(edge, m, keep=("id", "score")).collect()}
     assert [got[i]["lang_pred"] for i in (1, 2, 3, 5)] == ["und", "und", "und", "en"] and got[5]["keep_id"] == "clash"
     assert {r["lang_pred"] for r in langid.identify(edge, langid.train([])).collect()} == {"und"}
+    assert [langid.has_letter(t.encode()) for t in ("½", "²①", "12_", "é", "漢", "x")] == [False, False, False, True, True, True]
+
+
+def test_labelled_sample_is_fixed(spark):
+    """Rows that can't be used don't take a place, an id with two labels or texts has one of each, and the order of rows doesn't matter."""
+    from marrow.llm import common
+
+    rows = [(i, f"text {i}" if i % 3 else None, "a" if i % 2 else "b") for i in range(400)] + [(1000, "x" * (common.SAMPLE_CHARS + 1), "a"), (None, "t", "a"), (2001, "t", None)]
+    rows += [(3000, "second", "b"), (3000, "first", "a")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    got = common.labelled_sample(d, 50)
+    assert sorted(x for x, _ in got) == ["a"] * 50 + ["b"] * 50 and all(t and len(t) < 100 for _, t in got)
+    assert common.labelled_sample(d.orderBy(F.desc("doc_id")).repartition(7), 50) == got
+    every = common.labelled_sample(d, 1000)
+    assert len(every) == 266 + 1 and ("a", "first") in every
+    labels = d.select(F.col("doc_id").alias("id"), "label")
+    assert common.labelled_sample(d.select("doc_id", "text"), 50, labels) == got
+    assert common.labelled_sample(d.limit(0), 50) == []
 
 
 # --- URL filters ---------------------------------------------------------------------
@@ -320,6 +338,25 @@ def test_url_verdicts(spark):
     got = [(r["id"], r["rule"], r["verdict"]) for r in hosts.judge(d, rules).collect()]
     assert sorted(got, key=str) == sorted([(1, "com/", "allow"), (2, "net/es/", "block"), (3, None, "allow"), (4, None, "block"), (5, None, "allow"), (6, None, "allow"), (7, "www.example.com/en/", "allow"), (8, "example.com/en/", "block"), (8, "example.com/en/", "block"), (None, "com/", "allow"), (9, None, "allow")], key=str)
     assert hosts.judge(d.limit(0), rules).count() == 0
+    # many rules are joined by host instead of one expression
+    many = rules.unionByName(hosts.rule_table(spark, [("block", f"no{i}.example/") for i in range(hosts.EXPRESSION_RULES)]))
+    assert sorted([(r["id"], r["rule"], r["verdict"]) for r in hosts.judge(d, many).collect()], key=str) == sorted(got, key=str)
+
+
+def test_hosts_with_ports(spark):
+    """A page on a port seeds and is linked by its host; the host column keeps the port."""
+    pages = [(1, "http://bad.net:8080/es/", ""), (2, "http://linker.org:99/", "<a href='http://u@bad.net:8080/es/'>"), (3, "http://linker.org/z", ""), (4, "http://other.org", "")]
+    rules = hosts.rule_table(spark, [("block", "bad.net:8080/es/")])
+    got = {r["id"]: (r["host"], r["verdict"]) for r in hosts.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), rules).collect()}
+    assert got == {1: ("bad.net:8080", "block"), 2: ("linker.org:99", "block"), 3: ("linker.org", "block"), 4: ("other.org", "allow")}
+
+
+def test_distant_hosts_are_reached(spark):
+    """A chain of 40 links to a blocked host, closed to a circle: distrust goes all the way."""
+    n = 40
+    pages = [(i, f"http://h{i}.org/", f"<a href='http://h{(i + 1) % n}.org/'>") for i in range(n)]
+    got = hosts.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), hosts.rule_table(spark, [("block", "h0.org/")]))
+    assert {r["verdict"] for r in got.collect()} == {"block"}
 
 
 # --- quality -------------------------------------------------------------------------
