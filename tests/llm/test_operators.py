@@ -63,6 +63,39 @@ def test_toxicity(spark, edge):
     assert {r["score"] for r in toxicity.score(edge, None).collect()} == {0.0}
 
 
+def test_toxicity_distance_brute_force():
+    """Savings are differences of whole frames, compressed with zstandard from scratch for each window."""
+    import zstandard
+
+    m = toxicity.train(_toxic_sample())
+    text = _toxic_sample()[0][1].encode()
+    lengths = []
+    for content in (m.ordinary, m.toxic):
+        d = zstandard.ZstdCompressionDict(content + toxicity.ANCHOR, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        words = text.lower().split()
+        frames = []
+        for i in range(0, len(words), toxicity.WINDOW_WORDS):
+            c = toxicity._compressor(content)
+            x = toxicity.ANCHOR + b" " + b" ".join(words[i : i + toxicity.WINDOW_WORDS]) + b" "
+            frames.append(c.compress(x))
+            assert zstandard.ZstdDecompressor(dict_data=d).decompress(frames[-1], max_output_size=1 << 16) == x
+        lengths.append([len(x) for x in frames])
+    saved = sorted((a - b for a, b in zip(*lengths)), reverse=True)
+    got = toxicity._features(text, toxicity._compressor(m.toxic), toxicity._compressor(m.ordinary))
+    assert got[:4] == [max(0, x) for x in saved[:4]] and got[4] == pytest.approx(math.log1p(sum(x >= 1 for x in saved))) and math.exp(got[-1]) == pytest.approx(len(saved))
+
+
+def test_toxicity_threshold_is_calibrated():
+    """Of ordinary rows that no dictionary has seen about FALSE_ALARMS are above 0.7."""
+    m = toxicity.train(_toxic_sample(900))
+    fresh = [t.encode() for x, t in _toxic_sample(1800)[900:]]
+    labels = [x for x, _ in _toxic_sample(1800)[900:]]
+    z = toxicity._table(fresh, m.toxic, m.ordinary) @ m.weights[1:] + m.weights[0]
+    hit = [v >= math.log(0.7 / 0.3) for v in z]
+    assert sum(h for h, x in zip(hit, labels) if x == 0) / labels.count(0) <= 0.03
+    assert sum(h for h, x in zip(hit, labels) if x == 1) / labels.count(1) >= 0.95
+
+
 def test_toxicity_windows_cover_long_words():
     ws = toxicity._windows(b"a b c d " + b"x" * 3000)
     assert sum(w.count(b"x") for w in ws) == 3000 and max(map(len, ws)) < 300

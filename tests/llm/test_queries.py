@@ -21,8 +21,8 @@ def test_toxicity_held_out(spark):
     toxic = [x for x in rows if x["toxic"] == 1]
     plain = [x for x in rows if x["toxic"] == 0]
     # a third of some 400 labels train and test here; see the README for larger tables
-    assert sum(x["predicted"] for x in toxic) / len(toxic) > 0.4
-    assert sum(x["predicted"] for x in plain) / len(plain) < 0.05
+    assert sum(x["predicted"] for x in toxic) / len(toxic) > 0.5
+    assert sum(x["predicted"] for x in plain) / len(plain) < 0.03
     assert r.where("score < 0 or score > 1 or score is null").count() == 0
     assert r.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
 
