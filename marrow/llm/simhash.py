@@ -1,14 +1,16 @@
 """SimHash near-dedup with pivot distance tables.
 
-A fingerprint has bit i set if over half of the shingle hashes have.  To link distinct
-fingerprints at a small Hamming distance d, they are dealt into buckets of equal bits:
-of d+1 bands one must agree.  A bucket that holds over BUCKET fingerprints is dealt anew
+A fingerprint has bit i set if over half of the shingle hashes have.  Each distinct
+fingerprint gets its row of Hamming distances to PIVOTS reference fingerprints once, in a
+written table.  To link fingerprints at a small Hamming distance d, rows of that table are
+dealt into buckets of equal bits: of d+1 bands one must agree.  A bucket that holds over BUCKET fingerprints is dealt anew
 by bands of its remaining bits, again and again, so that no bucket grows with a group of
-near copies, and nothing is lost.  In a bucket each fingerprint has a row of Hamming
-distances to reference fingerprints, the pivots.  By the triangle inequality two
-fingerprints whose rows differ by more than d in any coordinate are further apart than d;
-sorting by the first pivot bounds the partners looked at, the other pivots discard most
-of the rest, and survivors are verified.  Each bucket gives at most one link for each
+near copies, and nothing is lost.  By the triangle inequality two fingerprints whose rows
+differ by more than d in any coordinate are further apart than d: in a bucket, order by
+the first coordinate bounds the partners looked at, pairs whose largest coordinate
+difference is above d are discarded, and survivors are verified.  (Cells of the
+coordinates alone can't deal: a distance of random fingerprints to a pivot has a spread of
+4, so a cell that keeps pairs within 3 together holds half of all rows.)  Each bucket gives at most one link for each
 fingerprint (to the least of its component there), not all pairs.
 """
 
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marrow.llm.common import checkpointed, utf8
+from marrow.llm.common import checkpointed, stored, utf8
 from marrow.llm.graph import components
 
 SEED = 42
@@ -33,7 +35,7 @@ BUCKET = 512
 #: With this many bits left a bucket has at most 2 ** 11 distinct fingerprints and is taken as it is.
 LAST_BITS = 11
 #: Pivots: XXH64 of their numbers.
-PIVOTS = np.array([xxhash.xxh64_intdigest(str(i).encode(), SEED) for i in range(8)], np.uint64)
+PIVOTS = np.array([xxhash.xxh64_intdigest(str(i).encode(), SEED) for i in range(32)], np.uint64)
 
 
 def fingerprint_of(text: bytes | None, shingle: int = 3) -> int:
@@ -83,24 +85,36 @@ def _children(mask: int, distance: int) -> list[int]:
     return [mask | sum(1 << b for b in band) for band in _bands(free, distance + 1)]
 
 
+def pivot_table(fps: DataFrame) -> DataFrame:
+    """(fp, first, row): the first pivot distance of each fingerprint, and all of them as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            table = np.bitwise_count(fp[:, None] ^ PIVOTS[None, :]).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(table[:, 0].astype(np.int32)), pa.array([x.tobytes() for x in table], pa.binary())], ["fp", "first", "row"])
+
+    return fps.select("fp").mapInArrow(run, "fp long, first int, row binary")
+
+
 def pairs_in_buckets(bucket_end: np.ndarray, fp: np.ndarray, table: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs within ``distance``; rows are sorted by bucket and first pivot distance."""
-    first = table[:, 0].astype(np.int16)
+    table = table.astype(np.int8)
+    first = table[:, 0]
     i, out_i, out_j = np.arange(len(fp)), [], []
     s = 1
     while len(i):
         j = i + s
         i = i[j < bucket_end[i]]
         i = i[first[i + s] - first[i] <= distance]  # sorted: no later partner is nearer
-        a, b = i, i + s
-        for p in range(1, table.shape[1]):
-            if not len(a):
-                break
-            near = np.abs(table[a, p].astype(np.int16) - table[b, p]) <= distance
-            a, b = a[near], b[near]
-        near = np.bitwise_count(fp[a] ^ fp[b]) <= distance
+        near = np.ones(len(i), bool)
+        for lo in range(1, table.shape[1], 8):  # the largest difference of eight coordinates at a time
+            k = np.flatnonzero(near)
+            near[k] = np.abs(table[i[k], lo : lo + 8] - table[i[k] + s, lo : lo + 8]).max(1) <= distance
+        a = i[near]
+        near = np.bitwise_count(fp[a] ^ fp[a + s]) <= distance
         out_i.append(a[near])
-        out_j.append(b[near])
+        out_j.append(a[near] + s)
         s += 1
     return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (np.zeros(0, int), np.zeros(0, int))
 
@@ -125,14 +139,13 @@ def _stars(a: np.ndarray, b: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np
 
 def _scan(dealt: DataFrame, distance: int) -> DataFrame:
     """Edges (a, b) of buckets (mask, key); a partition streams through, one bucket carried over at a time."""
-    pivot0 = int(PIVOTS[0].view(np.int64))
-    sorted_rows = dealt.repartition("mask", "key").sortWithinPartitions("mask", "key", F.bit_count(F.col("fp").bitwiseXOR(F.lit(pivot0))), "fp")
+    sorted_rows = dealt.repartition("mask", "key").sortWithinPartitions("mask", "key", "first", "fp")
 
-    def edges(mask: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    def edges(mask: np.ndarray, key: np.ndarray, fp: np.ndarray, table: np.ndarray) -> pa.RecordBatch:
         new = np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1])) + 1
         bounds = np.r_[0, new, len(fp)]
         end = np.repeat(bounds[1:], np.diff(bounds))
-        table = np.bitwise_count(fp[:, None] ^ PIVOTS[None, :])
+        fp = fp.view(np.uint64)
         a, b = _stars(*pairs_in_buckets(end, fp, table, distance), fp)
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
@@ -140,9 +153,10 @@ def _scan(dealt: DataFrame, distance: int) -> DataFrame:
         held = None
         for batch in batches:
             cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+            cols.append(np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, len(PIVOTS)))
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols)]
-            mask, key, fp = cols
+            mask, key, fp = cols[:3]
             if not len(fp):
                 continue
             last = len(fp) - 1
@@ -150,22 +164,22 @@ def _scan(dealt: DataFrame, distance: int) -> DataFrame:
             cut = int(np.flatnonzero(same)[0])
             held = [x[cut:] for x in cols]
             if cut:
-                yield edges(mask[:cut], key[:cut], fp[:cut].view(np.uint64))
+                yield edges(*(x[:cut] for x in cols))
         if held is not None:
-            yield edges(held[0], held[1], held[2].view(np.uint64))
+            yield edges(*held)
 
-    return sorted_rows.select("mask", "key", "fp").mapInArrow(run, "a long, b long").distinct()
+    return sorted_rows.select("mask", "key", "fp", "row").mapInArrow(run, "a long, b long").distinct()
 
 
 def links(fps: DataFrame, distance: int = 3, bucket: int = BUCKET) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) whose closure is that of all pairs within ``distance``."""
     spark = fps.sparkSession
-    fps = fps.select("fp").where("fp is not null").distinct()
+    fps = stored(pivot_table(fps.select("fp").where("fp is not null").distinct()))
     level, masks, parts = fps.withColumn("mask", F.lit(0).cast("long")), [0], []
     while True:
         children = {m: _children(m, distance) for m in masks}
         pairs = spark.createDataFrame([(_signed(m), _signed(c)) for m, cs in children.items() for c in cs], "mask long, child long")
-        dealt = level.join(F.broadcast(pairs), "mask").select(F.col("child").alias("mask"), F.col("fp").bitwiseAND(F.col("child")).alias("key"), "fp").distinct()
+        dealt = level.join(F.broadcast(pairs), "mask").select(F.col("child").alias("mask"), F.col("fp").bitwiseAND(F.col("child")).alias("key"), "fp", "first", "row").dropDuplicates(["mask", "fp"])
         masks = sorted({c for cs in children.values() for c in cs})
         if 64 - min(m.bit_count() for m in masks) <= LAST_BITS:
             parts.append(_scan(dealt, distance))
@@ -175,8 +189,7 @@ def links(fps: DataFrame, distance: int = 3, bucket: int = BUCKET) -> DataFrame:
             parts.append(_scan(dealt, distance))
             break
         parts.append(_scan(dealt.join(hot, ["mask", "key"], "left_anti"), distance))
-        level = checkpointed(dealt.join(hot, ["mask", "key"], "left_semi").select("fp", "mask"))
-        level = level.distinct()
+        level = checkpointed(dealt.join(hot, ["mask", "key"], "left_semi").select("fp", "first", "row", "mask"))
         masks = sorted(r["mask"] & ((1 << 64) - 1) for r in hot.select("mask").distinct().collect())  # at most (distance + 1) ** level
     return reduce(DataFrame.unionByName, parts)
 
