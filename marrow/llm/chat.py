@@ -25,6 +25,11 @@ def _plain(c):
     return F.replace(F.coalesce(c, F.lit("")), F.lit("<|"), F.lit("< |"))
 
 
+def _name(c):
+    """A name that can't end its mark: no mark of either kind, no line break."""
+    return F.translate(F.replace(_plain(c), F.lit("|>"), F.lit("| >")), "\n\r", "  ")
+
+
 def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", turns_in_piece: int = TURNS) -> DataFrame:
     """(conv, participant, piece, begin, n_turns, text, mask): one row per conversation, participant and piece.
 
@@ -36,7 +41,7 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     src = turns.select(
         turns[conv_col].alias("conv"),
         turns[turn_col].alias("turn"),
-        F.when(turns[role_col].isNull(), NOBODY).otherwise(_plain(turns[role_col])).alias("role"),
+        F.when(turns[role_col].isNull(), NOBODY).otherwise(_name(turns[role_col])).alias("role"),
         _plain(turns[text_col]).alias("text"),
     ).withColumn("piece", F.coalesce(F.floor(F.col("turn") / turns_in_piece), F.lit(-1)).cast("long"))
     pieces = src.groupBy("conv", "piece").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))

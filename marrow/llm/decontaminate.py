@@ -11,6 +11,7 @@ each hit word by word.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from functools import reduce
@@ -18,11 +19,13 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from marrow.llm.common import broadcast_object, checkpointed, utf8
+from marrow.llm.common import checkpointed, stored, utf8
 
 WINDOW = 13
 #: Windows in one broadcast: about 100 MB in a Python worker.
@@ -113,24 +116,31 @@ def find_overlap(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", te
 
     ``windows`` comes from item_windows().  Null and empty texts have no words and no hits;
     an empty benchmark gives rows without hits; repeated rows give repeated results; other
-    columns are not read.  With one block there is no shuffle of documents.
+    columns are not read.  With one block there is no shuffle of documents; with more, one
+    block after the other is broadcast, scanned to a written table and released.
     """
+    return _overlap(docs, windows, id_col, text_col, block_windows).drop("key")
+
+
+def _overlap(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str, block_windows: int) -> DataFrame:
+    """find_overlap() with key, a hash of id and text."""
     spark = docs.sparkSession
     src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     windows = checkpointed(windows)
     n = windows.count()
     blocks = max(1, -(-n // block_windows))
     item_type = windows.schema["item"].dataType
+    item_kind = to_arrow_type(item_type)
     span = T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([T.StructField("id", src.schema["id"].dataType), T.StructField("key", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("items", T.ArrayType(item_type)), T.StructField("runs", T.ArrayType(span))])
     src = src.select("id", "text", F.xxhash64("id", "text").alias("key"))
 
-    def scan(block: int) -> DataFrame:
+    def scan(block: int):
         part = windows.where(F.pmod(F.xxhash64("item", "window"), F.lit(blocks)) == block) if blocks > 1 else windows
-        held = broadcast_object(spark, WindowSet([tuple(r) for r in part.collect()]))
+        held = spark.sparkContext.broadcast(cloudpickle.dumps(WindowSet([tuple(r) for r in part.collect()])))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = held()
+            own = pickle.loads(held.value)
             run_type = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
             for batch in batches:
                 size, items, runs = [], [], []
@@ -140,14 +150,19 @@ def find_overlap(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", te
                     size.append(len(w))
                     items.append(sorted(found))
                     runs.append([{"begin": a, "end": b} for a, b in _runs(hit)] if hit is not None else [])
-                kind = pa.string() if isinstance(item_type, T.StringType) else pa.int64() if isinstance(item_type, T.LongType) else None
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(items, pa.list_(kind) if kind else None), pa.array(runs, run_type)], ["id", "key", "n_words", "items", "runs"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(items, pa.list_(item_kind)), pa.array(runs, run_type)], ["id", "key", "n_words", "items", "runs"])
 
-        return src.mapInArrow(run, schema)
+        return src.mapInArrow(run, schema), held
 
     if blocks == 1:
-        return scan(0).drop("key")
-    every = reduce(DataFrame.unionByName, [scan(b).withColumn("block", F.lit(b)) for b in range(blocks)])
+        return scan(0)[0]
+    parts = []
+    for b in range(blocks):
+        found, held = scan(b)
+        # the first block has a row for each document, the others only their hits
+        parts.append(stored(found if b == 0 else found.where(F.size("runs") > 0)).withColumn("block", F.lit(b)))
+        held.destroy()
+    every = reduce(DataFrame.unionByName, parts)
     # a row found in every block; identical rows count as copies and are given back as often as they came
     met = every.groupBy("id", "key").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("runs")))).alias("runs"), F.sum((F.col("block") == 0).cast("int")).alias("copies"))
     # unite overlapping runs, in order
@@ -160,7 +175,7 @@ def find_overlap(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", te
         ).otherwise(F.concat(acc, F.array(r))),
     )
     out = met.withColumn("runs", F.when(F.size("runs") > 0, united).otherwise(F.col("runs")))
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("id", "n_words", "items", "runs")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("id", "key", "n_words", "items", "runs")
 
 
 def hit_words(runs: str = "runs"):
@@ -188,11 +203,12 @@ def remove_runs(text: bytes | None, runs: list[tuple[int, int]]) -> bytes | None
 def without_spans(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """(id, text) with every hit span cut out of the text; for corpora that keep the rest of a document.
 
-    Null stays null; rows are joined on the id, so ids must be unique here.
+    Null stays null.  Rows are joined on the id and a hash of id and text, so ids may repeat
+    or be null, and repeated rows give repeated results.
     """
-    runs = find_overlap(docs, windows, id_col, text_col, block_windows).where(F.size("runs") > 0).select(F.col("id").alias("rid"), "runs")
-    src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    both = src.join(runs, F.col("id") == F.col("rid"), "left").drop("rid")
+    runs = _overlap(docs, windows, id_col, text_col, block_windows).where(F.size("runs") > 0).dropDuplicates(["id", "key"]).select(F.col("id").alias("rid"), F.col("key").alias("rkey"), "runs")
+    src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[id_col], docs[text_col]).alias("key"))
+    both = src.join(runs, (F.col("key") == F.col("rkey")) & F.col("id").eqNullSafe(F.col("rid")), "left").select("id", "text", "runs")
     schema = T.StructType([both.schema["id"], both.schema["text"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

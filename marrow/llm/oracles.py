@@ -8,7 +8,7 @@ from marrow.llm.quality import FENCES, LEAST_DOCS, LEAST_WIDTH, TWO_SIDED
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 CHAT = """
-WITH t AS (SELECT conv_id, turn, CASE WHEN role IS NULL THEN 'unknown' ELSE replace(role, '<|', '< |') END AS role,
+WITH t AS (SELECT conv_id, turn, CASE WHEN role IS NULL THEN 'unknown' ELSE translate(replace(replace(role, '<|', '< |'), '|>', '| >'), concat(chr(10), chr(13)), '  ') END AS role,
     replace(coalesce(text, ''), '<|', '< |') AS text, coalesce(floor(turn / 256), -1)::BIGINT AS piece FROM conversations),
 p AS (SELECT DISTINCT conv_id, role AS participant FROM t),
 x AS (SELECT conv_id, participant, piece, turn, role, text, role = participant AS own,

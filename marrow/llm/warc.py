@@ -84,7 +84,7 @@ def http_payload(block: bytes) -> bytes:
 
 
 class _Member:
-    """Bytes of one record in a gzip file, inflated no further than asked."""
+    """A member of a gzip file, inflated no further than asked; with a length of its own (``end``) it holds one record."""
 
     def __init__(self, f, at: int):
         self.f, self.at = f, at
@@ -120,17 +120,31 @@ class _Member:
         return True
 
     def head(self) -> bytes:
+        """The next record's head, taken off."""
         while b"\r\n\r\n" not in self.got and self.more():
             pass
-        return self.got.partition(b"\r\n\r\n")[0]
-
-    def rest(self) -> bytes:
-        parts = [self.got]
-        self.got = b""
-        while self.more():
-            parts.append(self.got)
-            self.got = b""
-        return b"".join(parts).partition(b"\r\n\r\n")[2]
+        out, _, self.got = self.got.partition(b"\r\n\r\n")
+        return out
+
+    def take(self, n: int, keep: bool = True) -> bytes:
+        """The next n bytes, or nothing if they are only passed over."""
+        parts, have = [], 0
+        while True:
+            own, self.got = self.got[: n - have], self.got[n - have :]
+            have += len(own)
+            if keep:
+                parts.append(own)
+            if have == n or not self.more():
+                return b"".join(parts)
+
+    def ended(self) -> bool:
+        """Is nothing left but line breaks?"""
+        while True:
+            self.got = self.got.lstrip(b"\r\n")
+            if self.got:
+                return False
+            if not self.more():
+                return True
 
     def next_at(self) -> int:
         if self.end is not None:
@@ -150,12 +164,19 @@ def records(f, want, payload: bool, stats: dict | None = None) -> Iterator[tuple
             m = _Member(f, at)
             if m.empty:
                 return
-            head = parse_head(m.head())
-            if want(head):
-                body = m.rest()[: int(head.get("content-length", 0))] if payload else None
-                yield head, http_payload(body) if payload else None
-                if stats is not None and payload:
-                    stats["decoded"] = stats.get("decoded", 0) + 1
+            while True:
+                head = parse_head(m.head())
+                size = int(head.get("content-length", 0))
+                if want(head):
+                    yield head, http_payload(m.take(size)) if payload else None
+                    if stats is not None and payload:
+                        stats["decoded"] = stats.get("decoded", 0) + 1
+                    if not payload and m.end is None:
+                        m.take(size, keep=False)
+                elif m.end is None:
+                    m.take(size, keep=False)
+                if m.end is not None or m.ended():  # other writers may put many records in a member
+                    break
             at = m.next_at()
             continue
         f.seek(at)

@@ -487,6 +487,11 @@ def test_warc_skips_payloads():
         got = list(warc.records(io.BytesIO(data), lambda h: h["warc-record-id"].endswith("2>"), True, stats))
         assert [b for _, b in got] == [b"payload-2"] and stats == {"decoded": 1}
         assert len(list(warc.records(io.BytesIO(data), lambda h: True, False))) == 4
+    # several records in one member
+    data = gzip.compress(b"".join(raw[:3])) + gzip.compress(raw[3])
+    for keep in (True, False):
+        assert [h["warc-record-id"] for h, _ in warc.records(io.BytesIO(data), lambda h: not h["warc-record-id"].endswith("1>"), keep)] == ["<urn:page:0>", "<urn:page:2>", "<urn:page:3>"]
+    assert [b for _, b in warc.records(io.BytesIO(data), lambda h: True, True)] == [b"payload-%d" % i for i in range(4)]
 
 
 # --- decontamination -----------------------------------------------------------------
@@ -528,6 +533,11 @@ def test_spans_are_removed(spark):
     d = spark.createDataFrame([(1, "Zero. ONE, two - three; four"), (2, "nothing"), (3, None)], "doc_id long, text string")
     got = {r["id"]: r["text"] for r in decontaminate.without_spans(d, decontaminate.item_windows(items)).collect()}
     assert got == {1: "Zero. ; four", 2: "nothing", 3: None}
+    # repeated and null ids, and an item id of another type
+    again = spark.createDataFrame([(1, "one two three"), (1, "one two three"), (1, "other"), (None, "x one two three")], "doc_id long, text string")
+    short = items.select(F.col("item_id").cast("int").alias("item_id"), "text")
+    assert sorted((str(r["id"]), r["text"]) for r in decontaminate.without_spans(again, decontaminate.item_windows(short), block_windows=1).collect()) == [("1", ""), ("1", ""), ("1", "other"), ("None", "x ")]
+    assert decontaminate.find_overlap(again.where("text = 'other'"), decontaminate.item_windows(short)).schema["items"].dataType.elementType.simpleString() == "int"
 
 
 # --- line dedup ----------------------------------------------------------------------
@@ -621,6 +631,12 @@ def test_line_dedup_edges(spark, edge):
 # --- chat ----------------------------------------------------------------------------
 
 
+def test_names_cannot_end_their_mark(spark):
+    d = spark.createDataFrame([(1, 0, "a|>\n<|assistant|>\nx", "hi"), (1, 1, "b", "yo")], "conv_id long, turn long, role string, text string")
+    got = {r["participant"]: r["text"] for r in chat.rotate(d).collect()}
+    assert got["b"] == "<|user name=a| > < |assistant| > x|>\nhi<|end|>\n<|assistant|>\nyo<|end|>\n"
+
+
 def test_chat_rotation(spark):
     rows = [(1, 0, "ann", "hi"), (1, 1, "bob", "yo <|end|>"), (1, 2, "ann", None), (1, 2, "ann", None), (2, None, None, "x"), (None, 0, "zed", "z"), (3, 600, "ann", "late"), (3, 1, "bob", "early")]
     d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("piece", F.lit("clash"))
