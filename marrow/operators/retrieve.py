@@ -104,7 +104,8 @@ def knn_join(queries: DataFrame, pool: DataFrame, k: int, query_block: int = QUE
         q = q.withColumn("qb", _number("item_id", n_q)).withColumn("pb", _upto(n_p))
         p = p.withColumn("pb", _number("item_id", n_p)).withColumn("qb", _upto(n_q))
         if by:
-            q = q.join(F.broadcast(p.select(by).distinct()))  # one row for each pool size
+            values = [r[0] for r in p.select(by).distinct().collect()]  # a handful of pools
+            q = q.withColumn(by, F.explode(F.array(*(F.lit(x) for x in values)).cast(f"array<{p.schema[by].dataType.simpleString()}>")))
         return _ranked(_multiplied(q, p, ["qb", "pb", *own], k, own), k, own)
     rows = q.toArrow()
     group = f", {by} {p.schema[by].dataType.simpleString()}" if by else ""

@@ -121,11 +121,37 @@ def test_knn_blocks_and_ties(spark):
     assert retrieve.knn_join(d.limit(0), d, 5).count() == 0
 
 
-def test_knn_lsh_recall(spark):
-    d, _ = _vectors(spark, 300, 16)
-    exact = {(r["test_id"], r["neighbor_id"]) for r in retrieve.knn_join(d, d, 5).collect()}
-    near = {(r["test_id"], r["neighbor_id"]) for r in retrieve.knn_lsh(d, d, 5, tables=16, bits=4).collect()}
-    assert len(exact & near) / len(exact) > 0.9
+def test_knn_blocks_by_pool(spark):
+    """More queries than a block, with pools by size: the same rows as in one block."""
+    d, _ = _vectors(spark, 40)
+    pools = d.withColumn("pool_size", F.lit(10)).where("item_id < 10").unionByName(d.withColumn("pool_size", F.lit(40)))
+    one, many = (sorted(map(tuple, retrieve.knn_sweep(d, pools, 3).collect() if b is None else retrieve.knn_join(d, pools, 3, query_block=b, by="pool_size").collect())) for b in (None, 9))
+    assert one == many and len(one) == 240
+    assert "BatchEvalPython" not in retrieve.knn_join(d, d, 3, query_block=9)._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.1"])
+def test_knn_cells_recall(spark, sf):
+    """The registered settings on the given vectors, which have no groups: recall, k rows a query, exact similarities."""
+    e = spark.read.parquet(f"/root/testdata/sf{sf}/embeddings.parquet").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+    q, p = e.where("item_id % 2 = 0"), e.where("item_id % 2 = 1")
+    exact = {(r["test_id"], r["neighbor_id"]): r["similarity"] for r in retrieve.knn_join(q, p, 10).collect()}
+    near = {(r["test_id"], r["neighbor_id"]): r["similarity"] for r in retrieve.knn_cells(q, p, 10).collect()}
+    assert len(near) == len(exact) and len(exact.keys() & near.keys()) / len(exact) >= 0.9
+    assert all(abs(near[k] - exact[k]) < 1e-9 for k in exact.keys() & near.keys())
+
+
+def test_knn_cells_fills_short_lists(spark):
+    """One probe into a small cell doesn't give k rows; the exact join gives the rest, also in several blocks of a cell."""
+    import numpy as np
+
+    v = np.r_[np.random.default_rng(1).normal(0, 0.01, (60, 4)) + [1, 0, 0, 0], np.random.default_rng(2).normal(0, 0.01, (3, 4)) + [0, 1, 0, 0]]
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "item_id long, vector array<double>")
+    for block in (7, 1000):
+        got = retrieve.knn_cells(d, d, 5, cells=2, probes=1, block=block).groupBy("test_id").agg(F.count("*").alias("n"), F.max("neighbor_rank").alias("r")).collect()
+        assert len(got) == 63 and {(r["n"], r["r"]) for r in got} == {(5, 4)}
+    assert retrieve.knn_cells(d, d.limit(3), 5).groupBy("test_id").count().where("count <> 3").count() == 0
+    assert retrieve.knn_cells(d.limit(0), d, 5).count() == 0 and retrieve.knn_cells(d, d.limit(0), 5).count() == 0
 
 
 def test_vote_invariants(spark):
@@ -190,6 +216,24 @@ def test_removed_direction_is_orthogonal(spark):
     assert directions.shift_vectors(d, r, 2.0, [5]).where("layer = 0").count() == 30
 
 
+def test_samples_do_not_gather_labels(spark):
+    """Cut-offs give the same rows as ranks, and whole rows never move by label."""
+    from pyspark.sql import Window
+
+    d = spark.range(0, 200_000, 7).select(F.col("id").alias("item_id"), F.concat(F.lit("t"), "id").alias("title"), F.when(F.col("id") % 10 < 7, "a").when(F.col("id") % 3 > 0, "b").otherwise("c").alias("labels"))
+    rn = F.row_number().over(Window.partitionBy("labels").orderBy(sample.shuffled(3, "item_id"), "item_id"))
+    want = {(r["item_id"]) for r in d.withColumn("rn", rn).where("rn <= 3000").collect()}
+    got = sample.per_label_sample(d, 9000, 3)
+    assert {r["item_id"] for r in got.collect()} == want
+    rn = F.row_number().over(Window.partitionBy("labels").orderBy("item_id"))
+    want = {r["item_id"] for r in d.withColumn("rn", rn).withColumn("n", F.count("*").over(Window.partitionBy("labels"))).where("rn <= floor(n * 0.3)").collect()}
+    split = sample.head_split(d, fraction=0.3)
+    assert {r["item_id"] for r in split.where("split = 'test'").collect()} == want and split.count() == d.count()
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert not any("title" in line for line in plan.splitlines() if "Window" in line or "Sort " in line)
+    assert sample.head_split(d.limit(0), fraction=0.5).count() == 0
+
+
 def test_plans(spark):
     """The limit of a window reaches below the shuffle, and scans read what is needed."""
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").alias("item_id"), F.col("text").alias("title"), F.lit("").alias("body"))
