@@ -69,10 +69,14 @@ def n_tokens(c: Column | str) -> Column:
 
 
 def cut_tokens(c: Column | str, most: Column, mark: str = "...") -> Column:
-    """The first ``most`` tokens, right-stripped, with ``mark``; as it is when short enough."""
-    t = tokens(c)
-    cut = F.array_join(F.slice(t, F.lit(1), F.greatest(most, F.lit(0)).cast("int")), "")
-    return F.when(F.size(t) > most, F.concat(F.regexp_replace(cut, r"\s+$", ""), F.lit(mark))).otherwise(F.coalesce(_col(c), F.lit("")))
+    """The first ``most`` tokens, right-stripped, with ``mark``; as it is when short enough.  The text is tokenised once."""
+    text = F.coalesce(_col(c), F.lit(""))
+
+    def cut(t: Column) -> Column:
+        head = F.array_join(F.slice(t, F.lit(1), F.greatest(most, F.lit(0)).cast("int")), "")
+        return F.when(F.size(t) > most, F.concat(F.regexp_replace(head, r"\s+$", ""), F.lit(mark))).otherwise(text)
+
+    return F.transform(F.array(tokens(c)), cut)[0]
 
 
 def norm(v: Column | str) -> Column:

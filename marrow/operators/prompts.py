@@ -143,16 +143,20 @@ def truncate_examples(nbrs: DataFrame, budget_tokens: Column | int, count: Count
         return F.struct(x["neighbor_rank"].alias("rank"), x["title"].alias("title"), body.alias("body"), x["label"].alias("label"), n.alias("n"))
 
     q = q.withColumn("near", F.transform("near", cut)).withColumn("left", F.col("budget") - total("n"))
-    cut_q = F.col("truncated") & (F.col("q_tokens") > F.col("left")) & (F.col("left") > 0)
-    q = q.withColumn("query_truncated", cut_q).withColumn("bb", F.col("left") - F.col("q_title"))
-    tb = F.greatest(F.lit(5).cast("long"), F.floor(F.col("left") * 0.4).cast("long"))
-    title = F.when(F.col("query_truncated") & (F.col("bb") <= 10), cut_tokens("title", tb)).otherwise(F.coalesce("title", F.lit("")))
-    most_body = F.when(F.col("bb") > 10, F.col("bb")).otherwise(F.greatest(F.lit(5).cast("long"), F.col("left") - tb))
-    body = F.when(F.col("query_truncated"), cut_tokens("body", most_body)).otherwise(F.coalesce("body", F.lit("")))
-    q = q.withColumn("new_title", title).withColumn("new_body", body)
+    # the query keeps its title if over ten tokens then remain for its body; else the title gets two fifths
+    long = lambda x: F.floor(x).cast("long")
+    floor5 = lambda x: F.greatest(F.lit(5).cast("long"), x)
+    q = q.withColumn("query_truncated", F.col("truncated") & (F.col("left") > 0) & (F.col("q_tokens") > F.col("left")))
+    q = q.withColumn("beside_title", F.col("left") - F.col("q_title")).withColumn("title_share", floor5(long(F.col("left") * 0.4)))
+    roomy = F.col("beside_title") > 10
+    body_most = F.when(roomy, F.col("beside_title")).otherwise(floor5(F.col("left") - F.col("title_share")))
+    new_title = F.when(F.col("query_truncated") & ~roomy, cut_tokens("title", F.col("title_share"))).otherwise(F.coalesce("title", F.lit("")))
+    new_body = F.when(F.col("query_truncated"), cut_tokens("body", body_most)).otherwise(F.coalesce("body", F.lit("")))
+    q = q.withColumn("new_title", new_title).withColumn("new_body", new_body)
     after = F.when(F.col("query_truncated"), count(render_item("new_title", "new_body"))).otherwise(F.col("q_tokens"))
     q = q.withColumn("final_tokens", after + total("n"))
-    return q.select("test_id", F.col("new_title").alias("title"), F.col("new_body").alias("body"), "near", "truncated", "neighbors_truncated", "query_truncated", "original_tokens", "final_tokens", (F.col("original_tokens") - F.col("final_tokens")).alias("tokens_removed"))
+    facts = ["truncated", "neighbors_truncated", "query_truncated", "original_tokens", "final_tokens"]
+    return q.select("test_id", F.col("new_title").alias("title"), F.col("new_body").alias("body"), "near", *facts, (F.col("original_tokens") - F.col("final_tokens")).alias("tokens_removed"))
 
 
 def build_prompt(near: str = "near") -> Column:
