@@ -55,7 +55,7 @@ def concat_runs(dfs: list[DataFrame]) -> DataFrame:
 
 
 def unify_runs(df: DataFrame) -> DataFrame:
-    """Distinct rows with their ordinal in unified order; ordinals come from counts per context window."""
+    """Distinct rows with their ordinal in unified order; ordinals come from counts per context window, a handful of rows."""
     rows = df.dropDuplicates()
     sizes = rows.groupBy("context_window").agg(F.count("*").alias("n"))
     before = sizes.select("context_window", (F.sum("n").over(Window.orderBy("context_window")) - F.col("n")).alias("before"))
@@ -196,8 +196,8 @@ def summary_configs(runs: DataFrame) -> DataFrame:
 def pareto(runs: DataFrame, costs: DataFrame) -> DataFrame:
     """Runs that no other beats in both F1 and memory (equal memory: the higher F1 first).
 
-    The best F1 of each memory value is taken first, so the running maximum goes over
-    distinct memory values, not over runs.
+    The best F1 of each memory value is taken first, so the running maximum is one task over
+    distinct memory values (megabytes of a device, some ten thousand at most), not over runs.
     """
     r = _with_cost(runs, costs).where("gpu_peak_memory_mb is not null and f1_macro is not null")
     w = Window.partitionBy("gpu_peak_memory_mb").orderBy(F.desc("f1_macro"), *_order())
