@@ -8,13 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marrow.llm import chat, decontaminate, hosts, langid, linededup, quality, sentencepieces, simhash, toxicity, warc
+from marrow.llm import alignment, chat, decontaminate, hosts, langid, linededup, quality, sentencepieces, simhash, toxicity, warc
 from marrow.llm.common import crc_mod, labelled_sample, read_table, shared_dir
 from marrow.llm.oracles import ORACLES
 
 #: Folder of public tokenizer files; never copied here.
 TOKENIZERS = os.environ.get("MARROW_TOKENIZERS", "/opt/tokenizers")
 PIECE_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
+BYTE_MODEL = f"{TOKENIZERS}/byte_bpe_50k.json"
 
 
 def _held_out(n: int, rest: int):
@@ -101,6 +102,11 @@ def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(F.col("id").alias("doc_id"), "text", "n_removed")
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = alignment.align(read_table(spark, sf_dir, "documents"), alignment.load_pair(BYTE_MODEL, PIECE_MODEL), groups="sha256")
+    return r.select(F.col("id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
@@ -112,6 +118,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_decontaminate": op9_decontaminate,
     "op10_linededup": op10_linededup,
+    "op12_alignment": op12_alignment,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
