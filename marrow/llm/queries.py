@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marrow.llm import alignment, chat, decontaminate, hosts, langid, linededup, quality, sentencepieces, simhash, toxicity, warc
+from marrow.llm import alignment, chat, decontaminate, hosts, langid, linededup, quality, sentencepieces, simhash, spellings, toxicity, warc
 from marrow.llm.common import crc_mod, labelled_sample, read_table, shared_dir
 from marrow.llm.oracles import ORACLES
 
@@ -107,6 +107,15 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(F.col("id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
 
 
+#: One occurrence in so many (by its hash) loses a code point.
+SPELLING_NOISE = 199
+
+
+def op13_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = spellings.group_spellings(read_table(spark, sf_dir, "documents"), noise=SPELLING_NOISE)
+    return r.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
@@ -119,6 +128,7 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_linededup": op10_linededup,
     "op12_alignment": op12_alignment,
+    "op13_spellings": op13_spellings,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
