@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marrow.llm import alignment, chat, decontaminate, hosts, langid, linededup, quality, sentencepieces, simhash, spellings, toxicity, warc
+from marrow.llm import alignment, chat, decontaminate, hosts, langid, linededup, passages, quality, sentencepieces, simhash, spellings, toxicity, warc
 from marrow.llm.common import crc_mod, labelled_sample, read_table, shared_dir
 from marrow.llm.oracles import ORACLES
 
@@ -102,6 +102,14 @@ def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(F.col("id").alias("doc_id"), "text", "n_removed")
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    ids = labels.where(F.col("quality").isin(0, 1) & (crc_mod("doc_id", 3) != 1)).select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    model = passages.train(labelled_sample(docs, passages.SAMPLE_PER_LABEL, ids, salt="quality"))
+    r = passages.score(docs, model)
+    return r.select(F.col("id").alias("doc_id"), _held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_passages", "attention")
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = alignment.align(read_table(spark, sf_dir, "documents"), alignment.load_pair(BYTE_MODEL, PIECE_MODEL), groups="sha256")
     return r.select(F.col("id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
@@ -127,6 +135,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_decontaminate": op9_decontaminate,
     "op10_linededup": op10_linededup,
+    "op11_quality": op11_quality,
     "op12_alignment": op12_alignment,
     "op13_spellings": op13_spellings,
 }
