@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,26 +108,67 @@ def random_subset(df: DataFrame, n: int, seed: int) -> DataFrame:
     return df.orderBy(shuffled(seed, "item_id"), "item_id").limit(n)
 
 
-def random_neighbors(test: DataFrame, train: DataFrame, k: int, seeds: list[int], slack: int = 4) -> DataFrame:
-    """k distinct train rows per query and seed (seed, test_id, neighbor_rank, neighbor_id, similarity 0.0).
+#: Rounds of the keyed permutation; each takes 12 hex digits of an md5.
+ROUNDS = 8
+
+
+def permutation_sides(n: int) -> tuple[int, int]:
+    """Sides (a, b) of the smallest rectangle near a square that holds n places: a * b >= n by as little as can be."""
+    root = max(2, math.isqrt(n))
+    a = min(range(max(2, root - root // 4), root + 1), key=lambda a: (-n % a, -a))
+    return a, max(2, -(-n // a))
+
+
+def permuted(place: Column, n: int, *key: Column) -> Column:
+    """Where a permutation of 0..n-1, one for each key, puts ``place``.
+
+    A Feistel network over the cells (l, r) of a rectangle: each round adds an md5 of key,
+    round and one side to the other side.  A cell beyond n goes through again until it is
+    within; a walk is at most as long as the rectangle has cells beyond n.
+    """
+    a, b = permutation_sides(n)
+
+    def mixed(i: Column, side: Column) -> Column:
+        return F.conv(F.substring(F.md5(F.concat_ws("|", *(k.cast("string") for k in key), i.cast("string"), side.cast("string"))), 1, 12), 16, 10).cast("long")
+
+    def turn(s: Column, i: Column) -> Column:
+        one = F.struct(F.pmod(s["l"] + mixed(i, s["r"]), F.lit(a)).alias("l"), s["r"].alias("r"))
+        other = F.struct(s["l"].alias("l"), F.pmod(s["r"] + mixed(i, s["l"]), F.lit(b)).alias("r"))
+        return F.when(i % 2 == 0, one).otherwise(other)
+
+    def once(x: Column) -> Column:
+        start = F.struct(F.floor(x / b).cast("long").alias("l"), F.pmod(x, F.lit(b)).cast("long").alias("r"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda s: s["l"] * b + s["r"])
+
+    out = once(place.cast("long"))
+    if a * b == n:
+        return out
+    return F.aggregate(F.sequence(F.lit(1), F.lit(a * b - n)), out, lambda x, _: F.when(x < n, x).otherwise(once(x)))
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """(item_id, place): rows numbered from 0 in md5 order of their distinct ids; ranks within md5 prefixes, and sums of prefix sizes before them."""
+    keyed = df.select("item_id", F.md5(F.col("item_id").cast("string")).alias("h")).withColumn("block", F.substring("h", 1, _PREFIX))
+    sizes = keyed.groupBy("block").agg(F.count("*").alias("n"))
+    before = sizes.select("block", (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("block")) - F.col("n")).alias("before"))  # 16^_PREFIX rows at most
+    rank = F.row_number().over(Window.partitionBy("block").orderBy("h", "item_id"))
+    return keyed.withColumn("rn", rank).join(before, "block").select("item_id", (F.col("before") + F.col("rn") - 1).alias("place"))
+
+
+def random_neighbors(test: DataFrame, train: DataFrame, k: int, seeds: list[int]) -> DataFrame:
+    """k distinct train rows per query and seed (seed, test_id, neighbor_rank, neighbor_id, similarity 0.0), drawn apart for each.
 
-    The pool is numbered in md5 order of the seed; a query takes k numbers in a row, from a
-    start that its own md5 gives, around the end.  That is an equi join on numbers, so
-    neither side is crossed with the other.  An error if the pool is smaller than k.
+    The pool is numbered; each (seed, query) has a permutation of the numbers of its own and
+    takes what it gives 0..k-1.  That is an equi join on numbers: neither side is crossed
+    with the other, and no query's draw depends on another's.  An error if the pool is
+    smaller than k; an empty test table gives no rows.
     """
     size = train.count()
     if k > size:
         raise ValueError(f"{k} neighbours wanted, the pool has {size} rows")
+    if k < 1:
+        raise ValueError(f"k must be 1 or more, not {k}")
     by_seed = F.explode(F.array(*(F.lit(int(s)) for s in seeds))).alias("seed")
-    order = F.md5(F.concat_ws("|", F.col("seed").cast("string"), F.col("item_id").cast("string")))
-    pool = train.select("item_id", by_seed)
-    # number the pool: ranks within md5 prefixes, and sums of prefix sizes in front of them
-    pool = pool.withColumn("h", order).withColumn("block", F.substring("h", 1, 2))
-    sizes = pool.groupBy("seed", "block").agg(F.count("*").alias("n"))
-    before = sizes.select("seed", "block", (F.sum("n").over(Window.partitionBy("seed").orderBy("block")) - F.col("n")).alias("before"))
-    local = pool.withColumn("rn", F.row_number().over(Window.partitionBy("seed", "block").orderBy("h", "item_id")))
-    numbered = local.join(before, ["seed", "block"]).select("seed", F.col("item_id").alias("neighbor_id"), (F.col("before") + F.col("rn") - 1).alias("place"))
-    start = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("start"), F.col("seed").cast("string"), F.col("test_id").cast("string"))), 1, 12), 16, 10).cast("long") % size
-    q = test.select(F.col("item_id").alias("test_id"), by_seed).withColumn("start", start).withColumn("neighbor_rank", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    q = q.withColumn("place", (F.col("start") + F.col("neighbor_rank")) % size)
-    return q.join(numbered, ["seed", "place"]).select("seed", "test_id", "neighbor_rank", "neighbor_id", F.lit(0.0).alias("similarity"))
+    q = test.select(F.col("item_id").alias("test_id"), by_seed).withColumn("neighbor_rank", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    q = q.withColumn("place", permuted(F.col("neighbor_rank"), size, F.col("seed"), F.col("test_id")))
+    return q.join(numbered(train), "place").select("seed", "test_id", "neighbor_rank", F.col("item_id").alias("neighbor_id"), F.lit(0.0).alias("similarity"))

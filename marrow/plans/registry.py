@@ -363,11 +363,24 @@ def _(v):
     return sample.random_subset(v("issues_all"), 50, 7).select("item_id", "labels")
 
 
-@query("c8_c9_random_neighbors", """SELECT q.seed, q.test_id, q.neighbor_rank, p.neighbor_id, CAST(0 AS DOUBLE) AS similarity FROM (
-    SELECT seed, test_id, r AS neighbor_rank, (CAST(concat('0x', substr(md5(concat('start|', seed, '|', test_id)), 1, 12)) AS BIGINT) % n + r) % n AS place
-    FROM (SELECT item_id AS test_id FROM {split_vec} WHERE split = 'test') CROSS JOIN (SELECT count(*) AS n FROM {split_vec} WHERE split = 'train') CROSS JOIN (SELECT unnest([1, 2]) AS seed) CROSS JOIN (SELECT unnest(range(5)) AS r)) q
-    JOIN (SELECT seed, item_id AS neighbor_id, row_number() OVER (PARTITION BY seed ORDER BY md5(concat(seed, '|', item_id)), item_id) - 1 AS place
-    FROM {split_vec} CROSS JOIN (SELECT unnest([1, 2]) AS seed) WHERE split = 'train') p ON p.seed = q.seed AND p.place = q.place""")
+def _round(i: int) -> str:
+    """One round of the keyed permutation over (l, r) with sides a and b."""
+    side, other, n = ("l", "r", "a") if i % 2 == 0 else ("r", "l", "b")
+    mixed = f"CAST(concat('0x', substr(md5(concat(seed, '|', test_id, '|{i}|', {other})), 1, 12)) AS BIGINT)"
+    return f"SELECT * REPLACE (({side} + {mixed}) % {n} AS {side}) FROM "
+
+
+_ONCE = "".join(f"{_round(i)}(" for i in reversed(range(sample.ROUNDS))) + "{0}" + ")" * sample.ROUNDS
+
+
+@query("c8_c9_random_neighbors", f"""SELECT * FROM (WITH RECURSIVE size AS (SELECT count(*) AS n, greatest(2, CAST(floor(sqrt(count(*))) AS BIGINT)) AS root FROM {{split_vec}} WHERE split = 'train'),
+    sides AS (SELECT n, a, greatest(2, (n + a - 1) // a) AS b FROM (SELECT n, unnest(range(greatest(2, root - root // 4), root + 1)) AS a FROM size) ORDER BY (a - n % a) % a, a DESC LIMIT 1),
+    walk AS (SELECT 0 AS step, seed, test_id, neighbor_rank, n, a, b, CAST(neighbor_rank // b AS BIGINT) AS l, CAST(neighbor_rank % b AS BIGINT) AS r
+        FROM (SELECT item_id AS test_id FROM {{split_vec}} WHERE split = 'test') CROSS JOIN sides CROSS JOIN (SELECT unnest([1, 2]) AS seed) CROSS JOIN (SELECT unnest(range(5)) AS neighbor_rank)
+        UNION ALL SELECT step + 1, seed, test_id, neighbor_rank, n, a, b, l, r FROM ({_ONCE.replace('{0}', 'SELECT * FROM walk WHERE step = 0 OR l * b + r >= n')}))
+    SELECT w.seed, w.test_id, w.neighbor_rank, p.neighbor_id, CAST(0 AS DOUBLE) AS similarity FROM walk w
+    JOIN (SELECT item_id AS neighbor_id, row_number() OVER (ORDER BY md5(CAST(item_id AS VARCHAR)), item_id) - 1 AS place FROM {{split_vec}} WHERE split = 'train') p ON p.place = w.l * w.b + w.r
+    WHERE w.step > 0 AND w.l * w.b + w.r < w.n)""")
 def _(v):
     s = split_vec(v)
     return sample.random_neighbors(s.where("split = 'test'"), s.where("split = 'train'"), 5, [1, 2])

@@ -95,6 +95,40 @@ def test_random_neighbors(spark):
     assert len(r) == 14 and {x["n"] for x in r} == {6}
     with pytest.raises(ValueError):
         sample.random_neighbors(q, p, 21, [1])
+    with pytest.raises(ValueError):
+        sample.random_neighbors(q, p, 0, [1])
+    assert sample.random_neighbors(q.limit(0), p, 6, [1]).count() == 0
+    whole = sample.random_neighbors(q, p, 20, [3]).groupBy("test_id").agg(F.count_distinct("neighbor_id").alias("n")).collect()
+    assert {x["n"] for x in whole} == {20}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 23, 64, 97, 1009, 10_007])
+def test_keyed_permutation(spark, n):
+    """Every place is met once, for sizes that do and don't fill a rectangle."""
+    a, b = sample.permutation_sides(n)
+    assert n <= a * b and a * b - n < max(a, 4)
+    r = spark.range(n).select(sample.permuted(F.col("id"), n, F.lit(4), F.lit("q")).alias("p")).agg(F.count_distinct("p"), F.min("p"), F.max("p")).first()
+    assert tuple(r) == (n, 0, n - 1)
+
+
+def test_random_neighbors_are_independent(spark):
+    """Chi-square of single draws, of pairs of one query, and of neighbouring queries' draws, over 4,000 queries and a pool of 11."""
+    q, p = (spark.range(n).select(F.col("id").alias("item_id")) for n in (4000, 11))
+    rows = sample.random_neighbors(q, p, 2, [5]).groupBy("test_id").agg(F.max(F.when(F.col("neighbor_rank") == 0, F.col("neighbor_id"))).alias("a"), F.max(F.when(F.col("neighbor_rank") == 1, F.col("neighbor_id"))).alias("b")).orderBy("test_id").collect()
+
+    def chi(values, cells):
+        count = {c: 0 for c in cells}
+        for v in values:
+            count[v] += 1
+        want = len(values) / len(cells)
+        return sum((x - want) ** 2 / want for x in count.values())
+
+    ids = range(11)
+    a, b = [r["a"] for r in rows], [r["b"] for r in rows]
+    # bounds: the 0.999 quantiles for 10, 109 and 120 degrees of freedom
+    assert chi(a, ids) < 29.6 and chi(b, ids) < 29.6
+    assert chi(list(zip(a, b)), [(x, y) for x in ids for y in ids if x != y]) < 159
+    assert chi(list(zip(a, a[1:])), [(x, y) for x in ids for y in ids]) < 173
 
 
 def _vectors(spark, n, dim=8, seed=3):
