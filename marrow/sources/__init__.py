@@ -28,6 +28,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{named}/{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written once as Parquet in the shared folder and read again: what follows doesn't repeat the work before it."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def check_columns(df: DataFrame, wanted: tuple[str, ...]) -> DataFrame:
     missing = [c for c in wanted if c not in df.columns]
     if missing:

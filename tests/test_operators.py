@@ -164,15 +164,75 @@ def test_knn_blocks_by_pool(spark):
     assert "BatchEvalPython" not in retrieve.knn_join(d, d, 3, query_block=9)._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("block", [None, 9])
+def test_knn_waves(spark, block):
+    """A pool in waves gives the same rows, and each later wave gives few candidates, however many tasks it has."""
+    d, _ = _vectors(spark, 40)
+    pools = _vectors(spark, 1500, seed=5)[0].repartition(30)
+    one, many = (sorted(map(tuple, retrieve.knn_join(d, pools, 3, query_block=block, first_wave=w).collect())) for w in (1 << 18, 20))
+    assert one == many and len(one) == 120
+    waves = retrieve._waves(pools, 1500, 20)
+    sizes = [w.count() for w in waves]
+    assert sum(sizes) == 1500 and len(sizes) == 4 and sizes[0] < 20 and waves[0].rdd.getNumPartitions() == retrieve.FIRST_TASKS
+    both = pools.withColumn("pool_size", F.lit(1500)).unionByName(pools.where("item_id < 300").withColumn("pool_size", F.lit(300)))
+    one, many = (sorted(map(tuple, retrieve.knn_join(d, both, 3, query_block=block, by="pool_size", first_wave=w).collect())) for w in (1 << 18, 20))
+    assert one == many and len(one) == 240
+
+
+def test_wave_candidates_are_bounded(spark):
+    import numpy as np
+
+    d, v = _vectors(spark, 40)
+    pools = _vectors(spark, 4000, seed=5)[0].repartition(50)
+    first, *_, last = retrieve._waves(pools, 4000, 100)
+    held = retrieve.knn_join(d, first, 3)
+    least = {r["test_id"]: r["similarity"] for r in held.where("neighbor_rank = 2").collect()}
+    qid = np.arange(40)
+    near = retrieve._against_matrix(qid, retrieve._unit(v), retrieve._side(last), 3, None, {None: np.array([least[i] for i in qid])})
+    free = retrieve._against_matrix(qid, retrieve._unit(v), retrieve._side(last), 3, None, {})
+    n = near.where("test_id <> 20").count()  # all are as near to the zero vector
+    assert free.count() > 40 * 3 * 40 and n < 39 * 3 * 4 * 4000 / first.count()
+
+
+def test_too_many_pools(spark):
+    d, _ = _vectors(spark, 4)
+    pools = spark.range(retrieve.POOLS + 1).select("id", F.array(F.lit(1.0)).alias("vector"), F.col("id").alias("pool_size")).withColumnRenamed("id", "item_id")
+    with pytest.raises(ValueError, match="pools"):
+        retrieve.knn_join(d, pools, 1, by="pool_size")
+
+
 @pytest.mark.parametrize("sf", ["0.001", "0.1"])
 def test_knn_cells_recall(spark, sf):
-    """The registered settings on the given vectors, which have no groups: recall, k rows a query, exact similarities."""
+    """The registered settings on the given vectors, which have no groups: recall, k rows a query, exact similarities, few pairs scored."""
     e = spark.read.parquet(f"/root/testdata/sf{sf}/embeddings.parquet").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
     q, p = e.where("item_id % 2 = 0"), e.where("item_id % 2 = 1")
     exact = {(r["test_id"], r["neighbor_id"]): r["similarity"] for r in retrieve.knn_join(q, p, 10).collect()}
-    near = {(r["test_id"], r["neighbor_id"]): r["similarity"] for r in retrieve.knn_cells(q, p, 10).collect()}
+    rows = retrieve.knn_cells(q, p, 10, scored=True).collect()
+    near = {(r["test_id"], r["neighbor_id"]): r["similarity"] for r in rows}
     assert len(near) == len(exact) and len(exact.keys() & near.keys()) / len(exact) >= 0.9
     assert all(abs(near[k] - exact[k]) < 1e-9 for k in exact.keys() & near.keys())
+    assert sum({r["test_id"]: r["n_scored"] for r in rows}.values()) <= q.count() * p.count() / 4
+
+
+def test_cells_follow_the_vectors(spark):
+    """Vectors in groups need few probes and few scored pairs; cells grow with the pool; codes come back near to the vectors."""
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    middle = r.standard_normal((40, 16))
+    v = middle[r.integers(0, 40, 4000)] + r.normal(0, 0.15, (4000, 16))
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "item_id long, vector array<double>")
+    q, p = d.where("item_id < 300"), d.where("item_id >= 300")
+    c = retrieve.fit_cells(q, p, 5)
+    assert len(c.centres) == 60 and len(retrieve.fit_cells(q, p.where("item_id < 1300"), 5).centres) == 31
+    assert c.probes <= 15 and c.share < 0.05
+    u = retrieve._unit(v)
+    codes = c.encode(u)
+    assert codes.dtype == np.uint8 and codes.shape == (4000, 4) and ((c.decode(codes) - u) ** 2).sum(1).mean() < 0.05
+    exact = {(x["test_id"], x["neighbor_id"]) for x in retrieve.knn_join(q, p, 5).collect()}
+    rows = retrieve.knn_cells(q, p, 5, scored=True, block=50).collect()
+    assert len(rows) == 1500 and len(exact & {(x["test_id"], x["neighbor_id"]) for x in rows}) >= 0.9 * 1500
+    assert sum({x["test_id"]: x["n_scored"] for x in rows}.values()) < 0.06 * 300 * 3700
 
 
 def test_knn_cells_fills_short_lists(spark):
@@ -182,7 +242,7 @@ def test_knn_cells_fills_short_lists(spark):
     v = np.r_[np.random.default_rng(1).normal(0, 0.01, (60, 4)) + [1, 0, 0, 0], np.random.default_rng(2).normal(0, 0.01, (3, 4)) + [0, 1, 0, 0]]
     d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "item_id long, vector array<double>")
     for block in (7, 1000):
-        got = retrieve.knn_cells(d, d, 5, cells=2, probes=1, block=block).groupBy("test_id").agg(F.count("*").alias("n"), F.max("neighbor_rank").alias("r")).collect()
+        got = retrieve.knn_cells(d, d, 5, cells=2, probes=1, share=1.0, block=block).groupBy("test_id").agg(F.count("*").alias("n"), F.max("neighbor_rank").alias("r")).collect()
         assert len(got) == 63 and {(r["n"], r["r"]) for r in got} == {(5, 4)}
     assert retrieve.knn_cells(d, d.limit(3), 5).groupBy("test_id").count().where("count <> 3").count() == 0
     assert retrieve.knn_cells(d.limit(0), d, 5).count() == 0 and retrieve.knn_cells(d, d.limit(0), 5).count() == 0
