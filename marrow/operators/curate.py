@@ -45,16 +45,64 @@ def dedup_report(df: DataFrame) -> DataFrame:
     return n.withColumn("n_removed", F.col("n_before") - F.col("n_after"))
 
 
+#: Keys that share a word of a key filter, on average, and bits a key sets in it.
+_KEYS_A_WORD, _BITS = 4, 4
+#: Most words of a filter that is broadcast; for more keys than it serves there is none.
+FILTER_WORDS = 1 << 20
+
+
+def _word(key: Column, words: int) -> tuple[Column, Column]:
+    """The word of a key and the bits it sets there."""
+    h = F.xxhash64(F.lit("bits"), key)
+    out = F.lit(0).cast("long")
+    for j in range(_BITS):
+        out = out.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 6 * j).bitwiseAND(F.lit(63)).cast("int")))
+    return F.pmod(F.xxhash64(F.lit("word"), key), F.lit(words)), out
+
+
+def key_filter(keys: DataFrame, words: int) -> DataFrame:
+    """A Bloom filter of the column key in ``words`` words of 64 bits: (word, bits).
+
+    Built by a bitwise or that tasks take first; filters of as many words merge by the same.
+    """
+    word, bits = _word(F.col("key"), words)
+    return keys.select(word.alias("word"), bits.alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+
+
+def _probed(df: DataFrame, keys: DataFrame) -> DataFrame | None:
+    """df (with a column key) and may_leak: false where no key of ``keys`` can be equal; None for more keys than a filter serves."""
+    words = -(-max(1, keys.count()) // _KEYS_A_WORD)
+    if words > FILTER_WORDS:
+        return None
+    word, bits = _word(F.col("key"), words)
+    held = F.broadcast(key_filter(keys, words).withColumnRenamed("bits", "filter"))  # FILTER_WORDS rows at most
+    probed = df.withColumn("word", word).join(held, "word", "left")
+    return probed.withColumn("may_leak", F.coalesce(F.col("filter").bitwiseAND(bits) == bits, F.lit(False))).drop("word", "filter")
+
+
 def drop_leaks(train: DataFrame, test: DataFrame) -> DataFrame:
-    """Train rows whose content isn't in test."""
+    """Train rows whose content isn't in test.
+
+    A filter of the test keys tells for nearly all train rows that they aren't there; they
+    never move.  Only rows that may be there are shuffled to the exact anti join.
+    """
     keys = test.select(content_key("title", "body").alias("key"))
-    return train.withColumn("key", content_key("title", "body")).join(keys, "key", "left_anti").drop("key")
+    keyed = train.withColumn("key", content_key("title", "body"))
+    probed = _probed(keyed, keys)
+    if probed is None:
+        return keyed.join(keys, "key", "left_anti").drop("key")
+    clear = probed.where("not may_leak").drop("may_leak", "key")
+    unsure = probed.where("may_leak").drop("may_leak").join(keys, "key", "left_anti").drop("key")
+    return clear.unionByName(unsure).select(*train.columns)
 
 
 def leak_report(raw: DataFrame, test: DataFrame) -> DataFrame:
-    """Per label, rows of raw that aren't test rows but hold the content of one."""
-    rest = raw.join(test.select("item_id"), "item_id", "left_anti").withColumn("key", content_key("title", "body"))
+    """Per label, rows of raw that aren't test rows but hold the content of one; rows that the filter clears aren't shuffled."""
     keys = test.select(content_key("title", "body").alias("key"))
+    keyed = raw.select("item_id", "labels", content_key("title", "body").alias("key"))
+    probed = _probed(keyed, keys)
+    unsure = keyed if probed is None else probed.where("may_leak").drop("may_leak")
+    rest = unsure.join(test.select("item_id"), "item_id", "left_anti")
     return rest.join(keys, "key", "left_semi").groupBy("labels").agg(F.count("*").alias("n_leaked"))
 
 

@@ -2,16 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marrow.functions import dot, l2_normalize, norm
 
 
+def _sums(df: DataFrame, by: list[str]) -> DataFrame:
+    """(by.., rows, total): each task's sum of its vectors of a group (and length), as one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        for batch in batches:
+            vectors = batch.column(len(by))
+            sizes = np.diff(np.asarray(vectors.offsets))
+            numbers: dict[tuple, int] = {}
+            keys = zip(*(batch.column(c).to_pylist() for c in range(len(by))), sizes.tolist())
+            own = np.array([numbers.setdefault(k, len(numbers)) for k in keys], np.int64)
+            flat, first = np.asarray(vectors.flatten()), np.cumsum(sizes) - sizes
+            for key, at in numbers.items():
+                rows = np.flatnonzero(own == at)
+                total = flat[first[rows][:, None] + np.arange(key[-1])].sum(0)
+                got = held.setdefault(key, [0, np.zeros(key[-1])])
+                got[0] += len(rows)
+                got[1] += total
+        if held:
+            cols = [pa.array([k[c] for k in held], f.type) for c, f in enumerate(batch.schema) if c < len(by)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([v[0] for v in held.values()], pa.int64()), pa.array([v[1].tolist() for v in held.values()], pa.list_(pa.float64()))], [*by, "rows", "total"])
+
+    src = df.where("vector is not null").select(*by, F.transform("vector", lambda x: x.cast("double")).alias("vector"))
+    fields = [src.schema[c] for c in by] + [T.StructField("rows", T.LongType()), T.StructField("total", T.ArrayType(T.DoubleType()))]
+    return src.mapInArrow(run, T.StructType(fields))
+
+
 def _means(df: DataFrame, by: list[str], digits: int = 12) -> DataFrame:
-    """Mean vector per group by position; positions are averaged apart, so a group spreads over tasks."""
-    each = df.select(*by, F.posexplode("vector").alias("pos", "x"))
-    m = each.groupBy(*by, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    """Mean vector per group by position, from one partial sum per task and group."""
+    each = _sums(df, by).select(*by, "rows", F.posexplode("total").alias("pos", "x"))
+    m = each.groupBy(*by, "pos").agg((F.sum("x") / F.sum("rows")).alias("x"))
     return m.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: F.round(s["x"], digits)).alias("vector"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marrow.functions import LABELS, canonical_label, cut_tokens, n_tokens
+from marrow.operators.select import percentiles
 
 # Prompt texts.
 SYSTEM = """Classify the GitHub issue into exactly one category.
@@ -173,9 +174,16 @@ def to_messages(user: Column, thinking: bool = False, prefill: bool = False) ->
 
 
 def prompt_stats(lengths: DataFrame, by: list[str], n_col: str = "n_prompt_tokens") -> DataFrame:
-    """n, min, mean, exact linear percentiles (cut to whole numbers) and max of prompt lengths."""
-    ps = [F.floor(F.percentile(n_col, F.lit(p))).cast("long").alias(f"p{round(p * 100)}") for p in (0.5, 0.75, 0.9, 0.95, 0.99)]
-    return lengths.groupBy(*by).agg(F.count("*").alias("n"), F.min(n_col).alias("min_tokens"), F.round(F.avg(n_col), 6).alias("mean_tokens"), *ps, F.max(n_col).alias("max_tokens"))
+    """n, min, mean, exact linear percentiles (cut to whole numbers) and max of prompt lengths; no task holds the lengths of a group."""
+    shares = (0.5, 0.75, 0.9, 0.95, 0.99)
+    ps = percentiles(lengths, by, n_col, list(shares))
+    named = ps.select(*(F.col(c).alias(f"_{c}") for c in by), *(F.floor(f"p{k}").cast("long").alias(f"p{round(x * 100)}") for k, x in enumerate(shares)))
+    stats = lengths.groupBy(*by).agg(F.count("*").alias("n"), F.min(n_col).alias("min_tokens"), F.round(F.avg(n_col), 6).alias("mean_tokens"), F.max(n_col).alias("max_tokens"))
+    same = F.lit(True)
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    cols = [*by, "n", "min_tokens", "mean_tokens", *(f"p{round(x * 100)}" for x in shares), "max_tokens"]
+    return stats.join(named, same, "left").select(*cols)
 
 
 def window_fit(lengths: DataFrame, by: list[str], n_col: str = "n_prompt_tokens", windows: tuple[int, ...] = WINDOWS) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marrow.functions import canonical_label
@@ -11,25 +11,53 @@ from marrow.operators.retrieve import explode_k
 SCHEMES = ("similarity", "shepard", "majority")
 
 
+def _winner(scores: Column, scheme: str) -> Column:
+    """The label of the best score; among equal ones the first, which is that of the best-ranked neighbour."""
+    best = F.array_max(F.transform(scores, lambda s: s[scheme]))
+    return F.get(F.filter(scores, lambda s: s[scheme] == best), F.lit(0))["label"]
+
+
+def _folded(near: Column, ks: list[int], schemes: tuple[str, ...]) -> Column:
+    """array<struct<k, one label a scheme>> of a list in rank order, in one pass: scores of the labels so far, and the winners at each of ``ks``."""
+    doubles = ", ".join(f"{s}: double" for s in schemes)
+    start = F.struct(F.lit(0).alias("i"), F.array().cast(f"array<struct<label: string, {doubles}>>").alias("scores"), F.array().cast(f"array<struct<k: int, {', '.join(f'{s}: string' for s in schemes)}>>").alias("out"))
+
+    def add(acc: Column, x: Column) -> Column:
+        own = F.when(x["label"].isNull(), 0.0)
+        weight = {"similarity": own.otherwise(x["similarity"]), "shepard": own.otherwise(x["similarity"] * x["similarity"]), "majority": own.otherwise(1.0)}
+        first = F.struct(x["label"].alias("label"), *(weight[s].cast("double").alias(s) for s in schemes))
+        more = lambda s: F.struct(s["label"].alias("label"), *((s[c] + weight[c]).alias(c) for c in schemes))
+        same = lambda s: s["label"].eqNullSafe(x["label"])
+        now = F.when(F.exists(acc["scores"], same), F.transform(acc["scores"], lambda s: F.when(same(s), more(s)).otherwise(s))).otherwise(F.concat(acc["scores"], F.array(first)))
+        k = acc["i"] + 1
+
+        def held(scores: Column) -> Column:
+            row = F.struct(k.alias("k"), *(_winner(scores, s).alias(s) for s in schemes))
+            return F.struct(k.alias("i"), scores.alias("scores"), F.when(k.isin(*ks), F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"))
+
+        return F.transform(F.array(now), held)[0]  # binds the scores once
+
+    return F.aggregate(near, start, add, lambda acc: acc["out"])
+
+
 def vote_sweep(neighbors: DataFrame, ks: list[int], schemes: tuple[str, ...] = SCHEMES) -> DataFrame:
     """(scheme, k, test_id, ground_truth, predicted_label) for every scheme and every usable k.
 
     A k is used if every query has that many neighbours.  Weights are the similarity, its
     square or one; a label's score is summed in rank order (so that ties are exact), and
-    among equal scores the label of the best-ranked neighbour wins.  One shuffle by query.
+    among equal scores the label of the best-ranked neighbour wins.  A null label scores 0.
+    One shuffle by query (none for a table bucketed by test_id), and one pass over each
+    list gives all ks and schemes; a list becomes several rows only at the end.
     """
     lists = neighbors.groupBy("test_id", "test_label").agg(F.array_sort(F.collect_list(F.struct("neighbor_rank", "similarity", canonical_label("neighbor_label").alias("label")))).alias("near"))
+    wanted = sorted({int(k) for k in ks if k >= 1})
+    if not wanted:
+        wanted = [0]
     usable = lists.agg(F.min(F.size("near")).alias("most"))
-    each = lists.withColumn("k", F.explode(F.array(*(F.lit(int(k)) for k in ks))))
-    each = each.join(F.broadcast(usable), (F.col("k") >= 1) & (F.col("k") <= F.col("most")))
-    each = each.withColumn("top", F.slice("near", F.lit(1), F.col("k"))).withColumn("scheme", F.explode(F.array(*(F.lit(s) for s in schemes))))
-    labels = F.array_distinct(F.transform("top", lambda x: x["label"]))  # in rank order
-    weight = lambda x: F.when(F.col("scheme") == "similarity", x["similarity"]).when(F.col("scheme") == "shepard", x["similarity"] * x["similarity"]).otherwise(1.0)
-    score = lambda label: F.aggregate("top", F.lit(0.0), lambda acc, x: F.when(x["label"] == label, acc + weight(x)).otherwise(acc))
-    scored = each.withColumn("scores", F.transform(labels, lambda label: F.struct(label.alias("label"), score(label).alias("score"))))
-    best = F.array_max(F.transform("scores", lambda s: s["score"]))
-    winner = F.get(F.filter("scores", lambda s: s["score"] == best), F.lit(0))["label"]
-    return scored.select("scheme", "k", "test_id", F.col("test_label").alias("ground_truth"), winner.alias("predicted_label"))
+    folded = lists.select("test_id", "test_label", F.explode(_folded(F.slice("near", 1, max(1, wanted[-1])), wanted, schemes)).alias("x"))
+    kept = folded.join(F.broadcast(usable), F.col("x.k") <= F.col("most"))  # one row
+    each = F.explode(F.array(*(F.struct(F.lit(s).alias("scheme"), F.col(f"x.{s}").alias("label")) for s in schemes))).alias("s")
+    return kept.select("x.k", "test_id", F.col("test_label").alias("ground_truth"), each).select("s.scheme", "k", "test_id", "ground_truth", F.col("s.label").alias("predicted_label"))
 
 
 def vote(neighbors: DataFrame, k: int, scheme: str = "similarity") -> DataFrame:

@@ -5,8 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from marrow.functions import clean_text, cut_tokens, n_tokens
-from marrow.operators import curate, debias, directions, errors, parse, prompts, retrieve, runs, sample, score, vote
+from marrow.functions import canonical_label, clean_text, content_key, cut_tokens, n_tokens
+from marrow.operators import curate, debias, directions, errors, parse, prompts, retrieve, runs, sample, score, select, vote
 
 MATRICES = {
     "3B": ((801, 77, 122, 0), (95, 780, 125, 0), (273, 134, 593, 0)),
@@ -287,6 +287,88 @@ def test_prompt_stats_are_linear(spark):
     assert prompts.prompt_stats(d, ["k"]).first()["p90"] == 7
 
 
+def test_percentiles_by_digits(spark):
+    """Against the built-in, over small and wide ranges, negative values, null keys, one-row groups and several digits."""
+    import random
+
+    r = random.Random(2)
+    rows = [(g, r.choice([r.randrange(10), r.randrange(-5000, 90_000), r.randrange(1 << 40)])) for g in ("a", "a", "b", None) for _ in range(400)]
+    rows += [("one", 7), ("none", None), ("same", 3), ("same", 3), ("low", -(1 << 62)), ("high", 1 << 62)]
+    d = spark.createDataFrame(rows, "g string, v long")
+    shares = [0.0, 0.33, 0.5, 0.9, 0.99, 1.0]
+    for part in (d, d.where("v between 0 and 9"), d.where("g = 'one'")):
+        want = {x["g"]: tuple(x)[1:] for x in part.where("v is not null").groupBy("g").agg(*(F.percentile("v", F.lit(x)) for x in shares)).collect()}
+        got = {x["g"]: tuple(x)[1:] for x in select.percentiles(part, ["g"], "v", shares).collect()}
+        assert got == want
+    assert select.percentiles(d.limit(0), ["g"], "v", shares).count() == 0
+    assert select.percentiles(spark.range(101), [], "id", [0.25]).first()["p0"] == 25
+    plan = select.percentiles(d, ["g"], "v", [0.5])._jdf.queryExecution().toString()
+    assert "percentile(" not in plan and "collect_" not in plan
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_vote_fold_brute_force(spark, seed):
+    """All ks and schemes of one pass against votes counted one by one, with ties, negative similarities, synonyms and null labels."""
+    import random
+
+    r = random.Random(seed)
+    labels = ["bug", "Feature ", "enhancement", "question", "other", None]
+    rows = [(q, "bug", k, r.choice([0.5, 0.25, -0.25, 0.125, 0.0]), r.choice(labels)) for q in range(30) for k in range(r.choice([6, 9]))]
+    d = spark.createDataFrame(rows, "test_id long, test_label string, neighbor_rank int, similarity double, neighbor_label string")
+    named = dict(zip(labels, [x[0] for x in spark.createDataFrame([(x,) for x in labels], "x string").select(canonical_label("x")).collect()]))
+    got = {(x["scheme"], x["k"], x["test_id"]): x["predicted_label"] for x in vote.vote_sweep(d, [1, 2, 3, 6, 8], vote.SCHEMES).collect()}
+    assert {k for _, k, _ in got} == {1, 2, 3, 6} and len(got) == 3 * 4 * 30
+    for (scheme, k, q), label in got.items():
+        scores = {}
+        for _, _, rank, s, x in sorted((x for x in rows if x[0] == q), key=lambda x: x[2])[:k]:
+            scores.setdefault(named[x], 0.0)
+            if named[x] is not None:
+                scores[named[x]] += {"similarity": s, "shepard": s * s, "majority": 1.0}[scheme]
+        assert label == max(scores, key=lambda x: scores[x])
+    plan = vote.vote_sweep(d, [1, 2, 3, 6, 8])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 2
+
+
+def test_leak_filter(spark):
+    """Same rows as the plain anti join; what the filter clears isn't shuffled; filters merge."""
+    d = spark.range(3000).select(F.col("id").alias("item_id"), F.concat(F.lit("t"), F.col("id") % 2000).alias("title"), F.when(F.col("id") % 5 > 0, "b").alias("body"), F.lit("bug").alias("labels"))
+    test, train = d.where("item_id < 40"), d.where("item_id >= 40")
+    want = {r["item_id"] for r in train.collect()} - {i for i in range(40, 3000) if i % 2000 < 40}
+    got = curate.drop_leaks(train, test)
+    assert {r["item_id"] for r in got.collect()} == want and got.columns == train.columns
+    keys = test.select(content_key("title", "body").alias("key"))
+    probed = curate._probed(train.withColumn("key", content_key("title", "body")), keys)
+    assert 40 <= probed.where("may_leak").count() < 80
+    assert curate.leak_report(d, test).first()["n_leaked"] == 40
+    two = [curate.key_filter(keys.where(F.crc32("key") % 2 == k), 16) for k in (0, 1)]
+    merged = two[0].unionByName(two[1]).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, curate.key_filter(keys, 16).collect()))
+    assert curate.drop_leaks(train, test.limit(0)).count() == train.count() and curate.leak_report(d, test.limit(0)).count() == 0
+
+
+def test_no_filter_beyond_its_size(spark, monkeypatch):
+    monkeypatch.setattr(curate, "FILTER_WORDS", 0)
+    d = spark.createDataFrame([(1, "t", "b", "bug"), (2, "t", "b", "bug"), (3, "u", "b", "bug")], "item_id long, title string, body string, labels string")
+    assert [r["item_id"] for r in curate.drop_leaks(d.where("item_id > 1"), d.where("item_id = 1")).collect()] == [3]
+    assert curate.leak_report(d, d.where("item_id = 1")).first()["n_leaked"] == 1
+
+
+def test_means_from_partial_sums(spark):
+    """A mean by task sums equals the mean by position; one row a task and group goes on; ragged, null and empty vectors."""
+    import numpy as np
+
+    v = np.random.default_rng(6).standard_normal((500, 7))
+    d = spark.createDataFrame([(i % 3, "ab"[i % 2], x.tolist()) for i, x in enumerate(v)], "layer int, labels string, vector array<double>").repartition(5)
+    sums = directions._sums(d, ["layer", "labels"])
+    assert sums.count() <= 30 and sums.agg(F.sum("rows")).first()[0] == 500
+    for r in directions._means(d, ["layer", "labels"]).collect():
+        own = [x for i, x in enumerate(v) if i % 3 == r["layer"] and "ab"[i % 2] == r["labels"]]
+        assert np.allclose(r["vector"], np.mean(own, 0), atol=1e-11)
+    odd = spark.createDataFrame([(1, [1.0, 2.0]), (1, [3.0]), (1, None), (1, []), (None, [5.0])], "layer int, vector array<double>")
+    assert {r["layer"]: r["vector"] for r in directions._means(odd, ["layer"]).collect()} == {1: [2.0, 2.0], None: [5.0]}
+    assert directions._means(odd.limit(0), ["layer"]).count() == 0
+
+
 def test_crossover(spark):
     few = dict(zip((1500, 3000, 9000, 15000, 27000), (0.698, 0.699, 0.705, 0.714, 0.722)))
     tuned = dict(zip(few, (0.714, 0.679, 0.767, 0.790, 0.790)))
