@@ -237,12 +237,21 @@ def _(v):
     return back.join(F.broadcast(back.sparkSession.read.parquet(f"{path}/runs").select("f1_macro")))  # one row
 
 
-@query("a11_skip_existing", "SELECT item_id, labels FROM {split_items} WHERE split = 'test'")
+@query("a11_skip_existing", "SELECT item_id, labels, true AS first_written, false AS second_written, true AS is_complete FROM {split_items} WHERE split = 'test'")
 def _(v):
     s, path = split_items(v).select("item_id", "labels", "split"), _folder(v)
-    sources.write(s.where("split = 'test'").drop("split"), path, mode="ignore")
-    sources.write(s.where("split = 'train'").drop("split"), path, mode="ignore")  # exists: nothing is written
-    return s.sparkSession.read.parquet(path)
+    first = sources.write(s.where("split = 'test'").drop("split"), path, mode="ignore")
+    second = sources.write(s.where("split = 'train'").drop("split"), path, mode="ignore")  # complete: nothing is written
+    whole = sources.complete(s.sparkSession, path)
+    return s.sparkSession.read.parquet(path).select("item_id", "labels", F.lit(first).alias("first_written"), F.lit(second).alias("second_written"), F.lit(whole).alias("is_complete"))
+
+
+@query("a8_bucketed_votes", "SELECT test_id, ground_truth, predicted_label FROM {votes} WHERE scheme = 'similarity' AND k = 9")
+def _(v):
+    """A vote over a neighbour table in buckets by test_id: it isn't shuffled again."""
+    path = _folder(v)
+    n = sources.store_neighbors(neighbors(v), f"neighbors_{path.rsplit('/', 1)[-1]}", path, 8)
+    return vote.vote(n, 9).select("test_id", "ground_truth", "predicted_label")
 
 
 @query("a6_concat_runs", "SELECT model, top_k, f1_macro, NULL::DOUBLE AS wall_time_s FROM {runs} UNION ALL SELECT model, top_k, NULL, wall_time_s FROM {cost_runs}")

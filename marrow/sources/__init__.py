@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,16 +69,117 @@ def load_neighbors(df: DataFrame, k: int) -> DataFrame:
     return df.where(F.col("neighbor_rank") < k).groupBy("test_id").agg(F.array_sort(F.collect_list(near)).alias("neighbors"))
 
 
-def write(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "error", by: tuple[str, ...] = ()) -> None:
-    """Write a table; mode "ignore" skips one that exists."""
-    w = df.write.format(fmt).mode(mode)
+#: Written last into a folder, hidden from readers: the name and length of each file.
+MANIFEST = "_manifest.json"
+
+
+def _fs(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, which reaches whatever store Spark writes to, and a maker of its paths."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _files(spark: SparkSession, path: str) -> dict[str, int]:
+    """Length of every data file below a folder, by its name within."""
+    fs, at = _fs(spark, path)
+    top = fs.getFileStatus(at(path)).getPath().toString()
+    found, each = {}, fs.listFiles(at(path), True)
+    while each.hasNext():
+        f = each.next()
+        name = f.getPath().toString()[len(top) + 1 :]
+        if not name.rsplit("/", 1)[-1].startswith(("_", ".")):
+            found[name] = f.getLen()
+    return found
+
+
+def manifest(spark: SparkSession, path: str) -> dict | None:
+    """What a finished write left: format and files; None where it didn't finish."""
+    fs, at = _fs(spark, path)
+    file = at(f"{path}/{MANIFEST}")
+    if not fs.exists(file):
+        return None
+    stream = fs.open(file)
+    try:
+        return json.loads(bytes(stream.readAllBytes()).decode())
+    except ValueError:  # cut off while it was written
+        return None
+    except Py4JJavaError as e:  # the same, where the store has checksums
+        if "ChecksumException" not in e.java_exception.getClass().getName():
+            raise
+        return None
+    finally:
+        stream.close()
+
+
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether a folder holds all that a finished write put there (or, without our manifest, Spark's own mark of success)."""
+    fs, at = _fs(spark, path)
+    if not fs.exists(at(path)):
+        return False
+    found = manifest(spark, path)
+    if found is None:
+        return fs.exists(at(f"{path}/_SUCCESS")) and not fs.exists(at(f"{path}/{MANIFEST}"))
+    have = _files(spark, path)
+    return all(have.get(name) == size for name, size in found["files"].items())
+
+
+def write(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "error", by: tuple[str, ...] = ()) -> bool:
+    """Write a table so that its folder is whole or not there; whether it was written.
+
+    Rows go to a staging folder beside it, which takes the name at the end; a manifest of
+    its files then says that all is there.  Mode "ignore" skips a complete table.  One
+    that a failed or interrupted job left incomplete isn't skipped: it is set aside under
+    another name (``.incomplete-``), and the table is written.  Mode "error" raises where the folder exists,
+    "overwrite" replaces it, "append" adds to it without staging.
+    """
+    spark = df.sparkSession
+    fs, at = _fs(spark, path)
+    exists = fs.exists(at(path))
+    if mode == "ignore" and exists and complete(spark, path):
+        return False
+    if mode == "error" and exists:
+        raise ValueError(f"{path} exists")
+    if mode not in ("error", "ignore", "overwrite", "append"):
+        raise ValueError(f"unknown mode {mode}")
+    w = df.write.format(fmt)
     if fmt == "csv":
         w = w.option("header", True).option("escape", '"').option("quote", '"')
-    (w.partitionBy(*by) if by else w).save(path)
+    w = w.partitionBy(*by) if by else w
+    if mode == "append":
+        w.mode("append").save(path)
+    else:
+        staging = f"{path}.staging-{uuid.uuid4().hex}"
+        w.save(staging)
+        if exists:
+            fs.rename(at(path), at(f"{path}.{'incomplete' if mode == 'ignore' else 'replaced'}-{uuid.uuid4().hex}"))
+        if not fs.rename(at(staging), at(path)):
+            raise OSError(f"{staging} can't be renamed")
+    _commit(spark, path, fmt)
+    return True
+
+
+def _commit(spark: SparkSession, path: str, fmt: str) -> None:
+    fs, at = _fs(spark, path)
+    out = fs.create(at(f"{path}/{MANIFEST}"), True)
+    try:
+        out.write(bytearray(json.dumps({"format": fmt, "files": _files(spark, path)}).encode()))
+    finally:
+        out.close()
+
+
+def store_neighbors(neighbors: DataFrame, table: str, path: str, buckets: int = 64) -> DataFrame:
+    """A neighbour table in ``buckets`` by test_id, in rank order within them, as a catalog table at ``path``.
+
+    Votes, debiasing and prompts, which group or window by test_id, then read it without a
+    shuffle.  The number of buckets should be that of the tasks that are to read it.
+    """
+    w = check_columns(neighbors, NEIGHBOR_COLUMNS).repartition(buckets, "test_id").write.format("parquet")
+    w.bucketBy(buckets, "test_id").sortBy("test_id", "neighbor_rank").option("path", path).mode("error").saveAsTable(table)
+    return neighbors.sparkSession.table(table)
 
 
 def write_splits(split: DataFrame, path: str, fmt: str = "parquet", mode: str = "error") -> None:
-    """Train and test tables, and their titles and labels apart."""
+    """Train and test tables, and their titles and labels apart; each folder is complete or not there."""
     for s in ("train", "test"):
         own = split.where(F.col("split") == s).drop("split")
         write(own, f"{path}/{s}_split", fmt, mode)
