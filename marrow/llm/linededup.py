@@ -13,8 +13,10 @@ paragraph.  Lines have some four or five words; they are compared without the li
 3. Extend both ways: from a joined pair of places, lines are compared up to REACH lines to
    the left and right.  This reaches past every neighbouring fingerprint, so pairs
    of one run cover all of it.
-4. Delete: a match of RUN_WORDS words or more goes at the later place, unless it overlaps
-   its head's own match in the same text.
+4. Delete: the matches of a text, whatever heads they have, form a chain as long as at most GAP lines
+   lie between them (matches that overlap their head's own in the same text don't count).  The
+   matched lines of a chain go if they have RUN_WORDS words or more.  So runs of short lines
+   and runs whose parts first occur in different texts go as well.
 
 All of a text's lines are worked out inside its row; only fingerprints are shuffled, and
 of those that are joined the REACH lines on either side.  Heads are one row for each
@@ -34,11 +36,12 @@ from marrow.llm.common import small_side, stored
 GRAM, WINDOW = 3, 5
 #: A run of so many lines has a fingerprint for sure.
 RUN_LINES = GRAM + WINDOW - 1
-#: Fewest words of a match that goes.
+#: Fewest words of a chain of matches that goes.
 RUN_WORDS = 24
-#: Lines compared on either side of a fingerprint; at least WINDOW - 1 to cover every run, some
-#: more so that runs of short lines come to RUN_WORDS.
+#: Lines compared on either side of a fingerprint; at least WINDOW - 1 to cover every run.
 REACH = 6
+#: Most lines between two matches of a chain: fingerprints of a run are WINDOW lines apart at most.
+GAP = WINDOW - GRAM
 #: A blank behind one of these ends a line, as does a line break.
 ENDS = ".!?,;:r"
 #: White space that may stand around a line break.
@@ -85,7 +88,7 @@ def _chosen(bare: Column) -> Column:
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, key, n, numbers, chosen): the lines of each text that has a fingerprint, and the fingerprints' places.
+    """(id, key, numbers, chosen): the lines of each text that has a fingerprint, and the fingerprints' places.
 
     key is a hash of id and text; together with the id it names a text.
     """
@@ -93,7 +96,17 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     both = lambda bare: F.struct(F.transform(bare, _number).alias("numbers"), _chosen(bare).alias("chosen"))
     each = src.select("id", F.xxhash64("id", "text").alias("key"), F.explode(F.array(_bind(F.transform(parts(F.col("text")), _bare), both))).alias("x"))
-    return each.where(F.size("x.chosen") > 0).select("id", "key", F.size("x.numbers").alias("n"), "x.numbers", "x.chosen")
+    return each.where(F.size("x.chosen") > 0).select("id", "key", "x.numbers", "x.chosen")
+
+
+def _distinct(texts: DataFrame) -> DataFrame:
+    """One row of each (id, key); rows that come once, nearly all, don't move."""
+    again = stored(texts.groupBy("key", "id").agg(F.count("*").alias("copies")).where("copies > 1").select(F.col("key").alias("akey"), F.col("id").alias("aid")))
+    if again.isEmpty():
+        return texts
+    same = (F.col("key") == F.col("akey")) & F.col("id").eqNullSafe(F.col("aid"))
+    once, more = texts.join(again, same, "left_anti"), texts.join(again, same, "left_semi")
+    return stored(once.unionByName(more.dropDuplicates(["key", "id"])))
 
 
 def _places(texts: DataFrame) -> DataFrame:
@@ -119,8 +132,8 @@ def _same(a: Column, b: Column) -> Column:
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = RUN_WORDS) -> DataFrame:
-    """(id, key, n, ranges): for each text with a later copy of a run, its lines and the line ranges (s, e) to delete, in order."""
-    texts = stored(lines(docs, id_col, text_col))
+    """(id, key, ranges): for each text with a later copy of a run, the line ranges (s, e) to delete, in order."""
+    texts = _distinct(stored(lines(docs, id_col, text_col)))
     places = _places(texts)
     heads = places.groupBy("gram").agg(F.count("*").alias("copies"), F.min(F.struct("id", "key", "at")).alias("head")).where("copies > 1")
     heads = stored(heads.select("gram", F.col("head.id").alias("hid"), F.col("head.key").alias("hkey"), F.col("head.at").alias("hat")))
@@ -131,17 +144,28 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # back to the text, for the lines around each place
     later = later.select("id", "key", "at", F.when(F.col("own"), F.col("hat")).alias("hat"), "hleft", "hright")
     met = later.join(of_head, (F.col("key") == F.col("tkey")) & F.col("id").eqNullSafe(F.col("tid")))
-    met = met.select("id", "key", "at", "hat", "hleft", "hright", "numbers", F.size("numbers").alias("n"), *_around(F.col("at")))
+    met = met.select("id", "key", "at", "hat", "hleft", "hright", "numbers", *_around(F.col("at")))
     met = met.withColumn("l", _same(F.col("left"), F.col("hleft"))).withColumn("r", _same(F.col("right"), F.col("hright")))
-    met = met.withColumn("words", F.aggregate(F.slice("numbers", F.col("at") - F.col("l") + 1, F.col("l") + F.col("r") + GRAM), F.lit(0).cast("long"), lambda acc, x: acc + x.bitwiseAND(F.lit(_COUNT))))
-    met = met.where(F.col("words") >= words)
     met = met.where(F.col("hat").isNull() | (F.col("at") - F.col("l") > F.col("hat") + F.col("r") + GRAM - 1))
+    counts = F.transform(F.slice("numbers", F.col("at") - F.col("l") + 1, F.col("l") + F.col("r") + GRAM), lambda x: x.bitwiseAND(F.lit(_COUNT)).cast("byte"))
+    spans = met.select("id", "key", (F.col("at") - F.col("l")).alias("s"), (F.col("at") + GRAM - 1 + F.col("r")).alias("e"), counts.alias("counts"))
     w = Window.partitionBy("key", "id").orderBy("s", "e")
-    spans = met.select("id", "key", "n", (F.col("at") - F.col("l")).alias("s"), (F.col("at") + GRAM - 1 + F.col("r")).alias("e")).distinct()
-    spans = spans.withColumn("reach", F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    spans = spans.withColumn("island", F.sum(F.when(F.col("s") <= F.col("reach") + 1, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = spans.groupBy("key", "id", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.first("n").alias("n"))
-    return merged.groupBy("key", "id").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("s", "e"))).alias("ranges"))
+    before, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
+
+    def chained(df: DataFrame, apart: int) -> DataFrame:
+        """Adds island: ranges with at most ``apart`` lines between them share one."""
+        df = df.withColumn("reach", F.max("e").over(before))
+        return df.withColumn("island", F.sum(F.when(F.col("s") <= F.col("reach") + 1 + apart, 0).otherwise(1)).over(upto))
+
+    def add(acc: Column, x: Column) -> Column:
+        new = F.slice(x["counts"], F.greatest(acc["reach"] + 1 - x["s"], F.lit(0)) + 1, F.greatest(x["e"] - F.greatest(acc["reach"], x["s"] - 1), F.lit(0)))
+        return F.struct(F.greatest(acc["reach"], x["e"]).alias("reach"), F.aggregate(new, acc["words"], lambda n, c: n + c.cast("long")).alias("words"))
+
+    start = F.struct(F.lit(-1).alias("reach"), F.lit(0).cast("long").alias("words"))
+    merged = chained(spans, 0).groupBy("key", "id", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.array_sort(F.collect_list(F.struct("s", "e", "counts"))).alias("all"))
+    merged = merged.select("key", "id", "s", "e", F.aggregate("all", start, add, lambda acc: acc["words"]).alias("words"))
+    total = chained(merged, GAP).withColumn("total", F.sum("words").over(Window.partitionBy("key", "id", "island")))
+    return total.where(F.col("total") >= words).groupBy("key", "id").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("ranges"))
 
 
 def _without(text: Column, ranges: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marrow.llm.linededup import ENDS, GRAM, REACH, RUN_LINES, RUN_WORDS, WINDOW
+from marrow.llm.linededup import ENDS, GAP, GRAM, REACH, RUN_LINES, RUN_WORDS, WINDOW
 from marrow.llm.quality import FENCES, LEAST_DOCS, LEAST_WIDTH, TWO_SIDED
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -107,8 +107,9 @@ f AS (SELECT doc_id, pos, lines[pos + 1 : pos + {GRAM}] AS gram FROM g JOIN d US
 h AS (SELECT gram, min(struct_pack(doc_id := doc_id, pos := pos)) AS head FROM f GROUP BY 1 HAVING count(*) > 1),
 p AS (SELECT f.doc_id, f.pos, d.lines, d.counts, head.doc_id AS hdoc, head.pos AS hpos, o.lines AS hlines FROM f JOIN h USING (gram) JOIN d ON d.doc_id = f.doc_id JOIN d o ON o.doc_id = head.doc_id WHERE (f.doc_id, f.pos) <> (head.doc_id, head.pos)),
 r AS (SELECT *, {_shared('l')} AS l, {_shared('r')} AS r FROM p),
-k AS (SELECT DISTINCT doc_id, unnest(range(pos - l, pos + {GRAM} + r)) AS line FROM r
-    WHERE list_sum(counts[pos - l + 1 : pos + {GRAM} + r]) >= {RUN_WORDS} AND (doc_id <> hdoc OR pos - l > hpos + r + {GRAM} - 1))
+c AS (SELECT DISTINCT doc_id, unnest(range(pos - l, pos + {GRAM} + r)) AS line FROM r WHERE doc_id <> hdoc OR pos - l > hpos + r + {GRAM} - 1),
+i AS (SELECT *, sum(gap) OVER (PARTITION BY doc_id ORDER BY line) AS chain FROM (SELECT *, CASE WHEN line - lag(line) OVER (PARTITION BY doc_id ORDER BY line) <= {GAP} + 1 THEN 0 ELSE 1 END AS gap FROM c)),
+k AS (SELECT doc_id, line FROM i JOIN d USING (doc_id) QUALIFY sum(counts[line + 1]) OVER (PARTITION BY doc_id, chain) >= {RUN_WORDS})
 SELECT a.doc_id, CASE WHEN a.text IS NULL THEN NULL ELSE coalesce(v.text, '') END AS text, coalesce(v.n_removed, 0) AS n_removed FROM a LEFT JOIN (
     SELECT t.doc_id, replace(string_agg(t.part, ' ' ORDER BY t.line) FILTER (k.line IS NULL), concat(chr(10), ' '), chr(10)) AS text, count(k.line) AS n_removed
     FROM t LEFT JOIN k ON k.doc_id = t.doc_id AND k.line = t.line GROUP BY 1) v USING (doc_id)

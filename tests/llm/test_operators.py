@@ -571,9 +571,15 @@ def brute_lines(rows, words):
             left += 1
         while right < linededup.REACH and max(j + G + right - len(own), h + G + right - len(other)) < 0 and own[j + G + right] == other[h + G + right]:
             right += 1
-        run = range(j - left, j + G + right)
-        if sum(own[k].count(" ") + 1 for k in run) >= words and (d != e or j - left > h + G - 1 + right):
-            cut[d].update(run)
+        if d != e or j - left > h + G - 1 + right:
+            cut[d].update(range(j - left, j + G + right))
+    for d, found in cut.items():  # matched lines with GAP others between them at most are a chain
+        chains = []
+        for k in sorted(found):
+            if not chains or k - chains[-1][-1] > linededup.GAP + 1:
+                chains.append([])
+            chains[-1].append(k)
+        cut[d] = {k for c in chains if sum(docs[d][3][k].count(" ") + 1 for k in c) >= words for k in c}
     return {i: None if t is None else " ".join(p for k, p in enumerate(parts) if k not in cut[d]).replace("\n ", "\n") for d, (i, t, parts, _) in enumerate(docs)}
 
 
@@ -620,6 +626,34 @@ def test_passage_in_a_paragraph(spark):
     assert "few more things" not in got[2] and got[2].startswith("Another one without a stop") and got[2].endswith("The end")
 
 
+def test_runs_of_short_lines_and_of_mixed_origin(spark):
+    """A passage of one-word lines, and one whose every three lines also stand, apart, in earlier texts."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("aeionst") for _ in range(r.randint(3, 7)))
+    shout = " ".join(word().upper() + "!!" for _ in range(60))
+    rows = [(1, f"{word()} begins here. {shout} ends"), (2, f"{word()} goes on. {shout} and so forth")]
+    lines = [" ".join(word() for _ in range(4)) + "." for _ in range(40)]
+    rows += [(10 + k, " ".join(f"{word()} {word()}." for _ in range(8)) + " " + " ".join(lines[k : k + 3]) + " " + " ".join(f"{word()} {word()}." for _ in range(8))) for k in range(38)]
+    rows += [(90, f"Own words. {' '.join(lines)} More words."), (91, f"Other words. {' '.join(lines)} Last words.")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["id"]: x["text"] for x in linededup.dedup_lines(d).collect()}
+    assert got == brute_lines(rows, linededup.RUN_WORDS)
+    assert got[1] == rows[0][1] and len(got[2].split()) < 12
+    assert all(got[i] == t for i, t in rows if 10 <= i < 90)  # short matches alone don't go
+    assert len(got[91].split()) < 30
+
+
+def test_repeated_rows_are_one_text(spark):
+    """Rows of one id and text, thousands of them, are worked on once and each come back."""
+    r = random.Random(8)
+    text = " ".join("".join(r.choice("aeionst") for _ in range(5)) + r.choice([".", "", ""]) for _ in range(300))
+    d = spark.range(10_000).select(F.lit(7).alias("doc_id"), F.lit(text).alias("text")).unionByName(spark.createDataFrame([(9, "Before. " + text), (None, text), (None, text)], "doc_id int, text string"))
+    assert linededup._distinct(linededup.lines(d)).count() == 3
+    got = {(x["id"], x["text"]): x["n"] for x in linededup.dedup_lines(d).groupBy("id", "text").agg(F.count("*").alias("n")).collect()}
+    assert {i: n for (i, _), n in got.items()} == {7: 10_000, 9: 1, None: 2} and got[None, text] == 2
+    assert all(len(t) < len(text) / 2 for i, t in got if i)
+
+
 def test_line_dedup_edges(spark, edge):
     got = linededup.dedup_lines(edge, keep=("id", "key")).collect()
     assert len(got) == edge.count() and "id" in got[0].asDict()
