@@ -44,6 +44,9 @@ REACH = 6
 GAP = WINDOW - GRAM
 #: A blank behind one of these ends a line, as does a line break.
 ENDS = ".!?,;:r"
+#: A line of more words is cut, from its start, in lines of PIECE words: text without such ends (one word
+#: over and over, for one) has lines as well.
+LONGEST, PIECE = 8, 4
 #: White space that may stand around a line break.
 HANGING = "\n\t\r\x0b\x0c "
 #: Bits of a line's number that hold its words (up to 63); the rest are a hash.
@@ -57,7 +60,13 @@ def _bind(value: Column, f: Callable[[Column], Column]) -> Column:
 
 def parts(text: Column) -> Column:
     """The lines of a text; joined by blanks, and "\\n " made "\\n", they give the text."""
-    return F.split(F.replace(text, F.lit("\n"), F.lit("\n ")), f"(?<=[{ENDS}\n]) ")
+    whole = F.split(F.replace(text, F.lit("\n"), F.lit("\n ")), f"(?<=[{ENDS}\n]) ")
+
+    def pieces(line: Column) -> Column:
+        cut = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(PIECE)), lambda i: F.array_join(F.slice(w, i + 1, PIECE), " "))
+        return F.when(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "))) < LONGEST, F.array(line)).otherwise(_bind(F.split(line, " "), cut))
+
+    return F.flatten(F.transform(whole, pieces))
 
 
 def _bare(line: Column) -> Column:

@@ -548,6 +548,8 @@ def brute_lines(rows, words):
     docs = []
     for i, t in rows:
         parts = re.split(rf"(?<=[{linededup.ENDS}\n]) ", (t or "").replace("\n", "\n "))
+        words_of = [p.split(" ") for p in parts]
+        parts = [x for w in words_of for x in ([" ".join(w)] if len(w) <= linededup.LONGEST else [" ".join(w[k : k + linededup.PIECE]) for k in range(0, len(w), linededup.PIECE)])]
         docs.append((i, t, parts, [p.strip(linededup.HANGING) if p.endswith("\n") else p for p in parts]))
     heads, places = {}, []
     for d, (i, _, _, own) in enumerate(docs):
@@ -634,13 +636,15 @@ def test_runs_of_short_lines_and_of_mixed_origin(spark):
     rows = [(1, f"{word()} begins here. {shout} ends"), (2, f"{word()} goes on. {shout} and so forth")]
     lines = [" ".join(word() for _ in range(4)) + "." for _ in range(40)]
     rows += [(10 + k, " ".join(f"{word()} {word()}." for _ in range(8)) + " " + " ".join(lines[k : k + 3]) + " " + " ".join(f"{word()} {word()}." for _ in range(8))) for k in range(38)]
+    rows += [(50, f"{word()} then " + "same " * 70 + "end"), (51, "same " * 90), (52, f"{word()} {word()} " + "same " * 20)]
     rows += [(90, f"Own words. {' '.join(lines)} More words."), (91, f"Other words. {' '.join(lines)} Last words.")]
     d = spark.createDataFrame(rows, "doc_id long, text string")
     got = {x["id"]: x["text"] for x in linededup.dedup_lines(d).collect()}
     assert got == brute_lines(rows, linededup.RUN_WORDS)
     assert got[1] == rows[0][1] and len(got[2].split()) < 12
-    assert all(got[i] == t for i, t in rows if 10 <= i < 90)  # short matches alone don't go
+    assert all(got[i] == t for i, t in rows if 10 <= i < 50)  # short matches alone don't go
     assert len(got[91].split()) < 30
+    assert len(got[51].split()) < 30 and got[52] == dict(rows)[52]
 
 
 def test_repeated_rows_are_one_text(spark):
