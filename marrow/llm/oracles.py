@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from marrow.llm.linededup import ENDS, GAP, GRAM, LONGEST, PIECE, REACH, RUN_LINES, RUN_WORDS, WINDOW
-from marrow.llm.quality import FENCES, LEAST_DOCS, LEAST_WIDTH, TWO_SIDED
+from marrow.llm.quality import FENCES, LEAST_DOCS, LEAST_WIDTH, SOME, TWO_SIDED
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -37,6 +37,15 @@ def _at(k: int) -> str:
     return f"min(bucket) FILTER (upto * 100 >= total * CASE rule {' '.join(f"WHEN '{r}' THEN {f[k]}" for r, f in FENCES.items())} END)"
 
 
+_SOME = " ".join(f"WHEN '{r}' THEN {p}" for r, (p, _) in SOME.items())
+_BEYOND = f"min(bucket) FILTER (bucket > 0 AND (upto - zero) * 100 >= (total - zero) * CASE rule {_SOME} ELSE 0 END) AS b2"
+_ZERO = "sum(CASE WHEN bucket = 0 THEN n ELSE 0 END) OVER (PARTITION BY {0}) AS zero"
+
+
+def _width(r: str) -> str:
+    return f"coalesce(p2, 0) // {SOME[r][1]}" if r in SOME else str(LEAST_WIDTH[r])
+
+
 QUALITY = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
 tri AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS n FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
@@ -48,12 +57,12 @@ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 s AS (SELECT lang, source, rule, {_EXP} * 32 + (CAST(v AS BIGINT) >> {_EXP}) AS bucket, count(*) AS n FROM (
     {' UNION ALL '.join(f"SELECT lang, source, '{r}' AS rule, CAST(v_{r} AS BIGINT) AS v FROM b WHERE NOT base_failed" for r in _RULES)}) GROUP BY ALL),
 w AS (SELECT lang, rule, bucket, sum(n) AS n FROM s GROUP BY ALL),
-q AS (SELECT lang, source, rule, max(total) AS total, {_at(0)} AS b0, {_at(1)} AS b1 FROM (
-    SELECT *, sum(n) OVER (PARTITION BY lang, source, rule ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lang, source, rule) AS total FROM s) GROUP BY ALL),
-lq AS (SELECT lang, rule, {_at(0)} AS b0, {_at(1)} AS b1 FROM (
-    SELECT *, sum(n) OVER (PARTITION BY lang, rule ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lang, rule) AS total FROM w) GROUP BY ALL),
-e AS (SELECT q.lang, source, q.rule, {_top('CASE WHEN total < ' + str(LEAST_DOCS) + ' THEN lq.b0 ELSE q.b0 END')} AS p0, {_top('CASE WHEN total < ' + str(LEAST_DOCS) + ' THEN lq.b1 ELSE q.b1 END')} AS p1 FROM q JOIN lq ON q.lang IS NOT DISTINCT FROM lq.lang AND q.rule = lq.rule),
-f AS (SELECT lang, source, {', '.join(f"max(p1 + greatest({c} * (p1 - p0), {LEAST_WIDTH[r]})) FILTER (rule = '{r}') AS fence_{r}, max(p0 - greatest({c} * (p1 - p0), {LEAST_WIDTH[r]})) FILTER (rule = '{r}') AS least_{r}" for r, (_, _, c) in FENCES.items())} FROM e GROUP BY ALL)
+q AS (SELECT lang, source, rule, max(total) AS total, {_at(0)} AS b0, {_at(1)} AS b1, {_BEYOND} FROM (
+    SELECT *, {_ZERO.format('lang, source, rule')}, sum(n) OVER (PARTITION BY lang, source, rule ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lang, source, rule) AS total FROM s) GROUP BY ALL),
+lq AS (SELECT lang, rule, {_at(0)} AS b0, {_at(1)} AS b1, {_BEYOND} FROM (
+    SELECT *, {_ZERO.format('lang, rule')}, sum(n) OVER (PARTITION BY lang, rule ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lang, rule) AS total FROM w) GROUP BY ALL),
+e AS (SELECT q.lang, source, q.rule, {_top('CASE WHEN total < ' + str(LEAST_DOCS) + ' THEN lq.b0 ELSE q.b0 END')} AS p0, {_top('CASE WHEN total < ' + str(LEAST_DOCS) + ' THEN lq.b1 ELSE q.b1 END')} AS p1, {_top('CASE WHEN total < ' + str(LEAST_DOCS) + ' THEN lq.b2 ELSE q.b2 END')} AS p2 FROM q JOIN lq ON q.lang IS NOT DISTINCT FROM lq.lang AND q.rule = lq.rule),
+f AS (SELECT lang, source, {', '.join(f"max(p1 + greatest({c} * (p1 - p0), {_width(r)})) FILTER (rule = '{r}') AS fence_{r}, max(p0 - greatest({c} * (p1 - p0), {_width(r)})) FILTER (rule = '{r}') AS least_{r}" for r, (_, _, c) in FENCES.items())} FROM e GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     CASE WHEN base_failed THEN false ELSE coalesce({' AND '.join([f'v_{r} <= fence_{r}' for r in _RULES] + [f'v_{r} >= least_{r}' for r in TWO_SIDED])}, false) END AS kept
 FROM b LEFT JOIN f ON b.lang IS NOT DISTINCT FROM f.lang AND b.source IS NOT DISTINCT FROM f.source

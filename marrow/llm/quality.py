@@ -5,9 +5,10 @@ million) every (lang, source) keeps a mergeable quantile sketch: a log-linear hi
 with a relative error of 1/32, whose buckets are counted by an ordinary aggregate, so
 that partial sketches add up in any order.  A ratio's fences lie beyond an upper (for word
 length also a lower) quantile of its group by a multiple of the distance between two of its
-quantiles, and by LEAST_WIDTH where a group has no spread at all.  No fence has a fixed
-place: what a group does as a rule is its norm.  A group of fewer than LEAST_DOCS documents
-takes the sketch of its language.  A document is kept if it passes the base rules and all
+quantiles.  Where most documents of a group have none of something (symbols), those quantiles
+have no spread; the fence then lies at a part of a quantile of the group's documents that
+have some, which the same sketch tells.  No fence has a fixed place: what a group does as a
+rule is its norm.  A group of fewer than LEAST_DOCS documents takes the sketch of its language.  A document is kept if it passes the base rules and all
 fences of its group.
 """
 
@@ -30,8 +31,10 @@ SYMBOLS = b"#*$%&|<>"
 FENCES = {"symbols": (25, 75, 3), "dup_lines": (50, 99, 1), "repeats": (50, 99, 1), "word_length": (25, 75, 5)}
 #: Ratios with a lower fence as well: p - factor (q - p).
 TWO_SIDED = ("word_length",)
-#: Least distance of a fence from its quantile: one part in a hundred (word_length: a tenth of a character).
-LEAST_WIDTH = {"symbols": 10_000, "dup_lines": 10_000, "repeats": 10_000, "word_length": 100}
+#: Ratio: percentile of the documents that aren't zero, and the part of it by which a fence is beyond its quantile at least.
+SOME = {"symbols": (25, 4)}
+#: The same as a fixed distance for ratios with a spread of their own: one part in a hundred (word_length: a tenth of a character).
+LEAST_WIDTH = {"dup_lines": 10_000, "repeats": 10_000, "word_length": 100}
 #: Documents past the base rules that a group needs for fences of its own.
 LEAST_DOCS = 100
 _RATIOS = {"symbols": "n_symbols * 1000000 div word_chars", "dup_lines": "n_dup_lines * 1000000 div greatest(n_lines, 1)", "repeats": "n_repeat_words * 1000000 div n_words", "word_length": "word_chars * 1000 div n_words"}
@@ -95,15 +98,18 @@ def sketches(counted: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def _quantiles(sketch: DataFrame, groups: list[str]) -> DataFrame:
-    """(groups, rule, total, p, q): documents of a sketch, and the two quantiles of its rule."""
+    """(groups, rule, total, p, q, some): documents of a sketch, the two quantiles of its rule, and that of SOME (0 where all are zero)."""
     w = Window.partitionBy(*groups, "rule")
-    s = sketch.select(*groups, "rule", "bucket", F.sum("n").over(w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("n").over(w).alias("total"))
+    zero = F.sum(F.when(F.col("bucket") == 0, F.col("n")).otherwise(0)).over(w)
+    s = sketch.select(*groups, "rule", "bucket", F.sum("n").over(w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("n").over(w).alias("total"), zero.alias("zero"))
+    percent = F.element_at(F.create_map(*(F.lit(x) for r in FENCES for x in (r, SOME.get(r, (0, 1))[0]))), F.col("rule"))
+    beyond = (F.col("bucket") > 0) & ((F.col("upto") - F.col("zero")) * 100 >= (F.col("total") - F.col("zero")) * percent)
 
     def at(k: int) -> Column:
         percent = F.element_at(F.create_map(*(F.lit(x) for r, f in FENCES.items() for x in (r, f[k]))), F.col("rule"))
         return bucket_top(F.min(F.when(F.col("upto") * 100 >= F.col("total") * percent, F.col("bucket"))))
 
-    return s.groupBy(*groups, "rule").agg(F.max("total").alias("total"), at(0).alias("p"), at(1).alias("q"))
+    return s.groupBy(*groups, "rule").agg(F.max("total").alias("total"), at(0).alias("p"), at(1).alias("q"), F.coalesce(bucket_top(F.min(F.when(beyond, F.col("bucket")))), F.lit(0).cast("long")).alias("some"))
 
 
 def fences(sketch: DataFrame, groups: list[str]) -> DataFrame:
@@ -114,15 +120,16 @@ def fences(sketch: DataFrame, groups: list[str]) -> DataFrame:
     """
     wide = [F.col(g).alias(f"w{k}") for k, g in enumerate(groups[:-1])]
     merged = sketch.groupBy(*groups[:-1], "rule", "bucket").agg(F.sum("n").alias("n"))
-    merged = _quantiles(merged, groups[:-1]).select(*wide, F.col("rule").alias("wrule"), F.col("p").alias("wp"), F.col("q").alias("wq"))
+    merged = _quantiles(merged, groups[:-1]).select(*wide, F.col("rule").alias("wrule"), *(F.col(c).alias(f"w_{c}") for c in ("p", "q", "some")))
     same = F.col("rule") == F.col("wrule")
     for k, g in enumerate(groups[:-1]):
         same = same & F.col(g).eqNullSafe(F.col(f"w{k}"))
     small = F.col("total") < LEAST_DOCS
-    x = _quantiles(sketch, groups).join(merged, same).select(*groups, "rule", F.when(small, F.col("wp")).otherwise(F.col("p")).alias("p"), F.when(small, F.col("wq")).otherwise(F.col("q")).alias("q"))
+    x = _quantiles(sketch, groups).join(merged, same).select(*groups, "rule", *(F.when(small, F.col(f"w_{c}")).otherwise(F.col(c)).alias(c) for c in ("p", "q", "some")))
     out = []
     for r, (_, _, factor) in FENCES.items():
-        width = F.greatest(F.lit(factor) * (F.col("q") - F.col("p")), F.lit(LEAST_WIDTH[r]))
+        least = F.floor(F.col("some") / SOME[r][1]).cast("long") if r in SOME else F.lit(LEAST_WIDTH[r])
+        width = F.greatest(F.lit(factor) * (F.col("q") - F.col("p")), least)
         out.append(F.max(F.when(F.col("rule") == r, F.col("q") + width)).alias(f"fence_{r}"))
         if r in TWO_SIDED:
             out.append(F.max(F.when(F.col("rule") == r, F.col("p") - width)).alias(f"least_{r}"))

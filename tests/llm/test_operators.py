@@ -435,6 +435,18 @@ def test_quality_fences_follow_the_group(spark, edge):
         assert quality.judge(x).count() == x.count()
 
 
+def test_symbol_fences_come_from_each_group(spark):
+    """Groups of clean text with a twelfth of junk: its level, not a constant, places the fence; clean documents stay, junk goes."""
+    r = random.Random(6)
+    word = lambda tail="": "".join(r.choice("abcdefghij") for _ in range(r.randint(4, 8))) + tail
+    text = lambda tail: " ".join(word(tail) for _ in range(100))
+    tails = {"a": "#", "b": "###", "c": "####&&&&"}
+    rows = [(1000 * k + i, text(tail if i % 12 == 0 else ""), "en", s) for k, (s, tail) in enumerate(tails.items()) for i in range(240)]
+    out = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert all(x["kept"] == (x["id"] % 1000 % 12 > 0) for x in out)
+    assert len({x["fence_symbols"] for x in out}) == 3 and "symbols" not in quality.LEAST_WIDTH
+
+
 def test_quality_fences_brute_force(spark):
     rows = _quality_rows()
     out = {x["id"]: x for x in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
@@ -444,7 +456,9 @@ def test_quality_fences_brute_force(spark):
         for rule, (p, q, factor) in quality.FENCES.items():
             v = sorted(ratio[rule](m) for m in own)
             lo, hi = (v[-(-len(v) * k // 100) - 1] for k in (p, q))
-            want = hi + max(factor * (hi - lo), quality.LEAST_WIDTH[rule])
+            some = sorted(x for x in v if x)
+            least = some[-(-len(some) * quality.SOME[rule][0] // 100) - 1] // quality.SOME[rule][1] if rule in quality.SOME else quality.LEAST_WIDTH[rule]
+            want = hi + max(factor * (hi - lo), least)
             got = next(x[f"fence_{rule}"] for x in out.values() for r in rows if r[0] == x["id"] and r[3] == source)
             assert abs(got - want) <= (factor + 1) * (hi + lo) / 32 + 1, (source, rule)
 
