@@ -2,8 +2,8 @@
 
 Normal form: A-Z lower-cased; words are runs of ASCII letters, digits and characters
 beyond ASCII.  Each benchmark item gives its windows of 13 words (a shorter item: one
-window of all its words).  Windows are broadcast in blocks of at most BLOCK_WINDOWS, so a
-broadcast never grows with the benchmark; beyond one block the corpus is scanned once a
+window of all its words).  Windows are broadcast in blocks of at most some BLOCK_WINDOWS and
+BLOCK_BYTES, so a broadcast never grows with the benchmark, nor with the length of its words; beyond one block the corpus is scanned once a
 block and the findings of a row are united.  A scan looks up words in the vocabulary of
 the block, takes windows made of known words only, compares a rolling hash, and verifies
 each hit word by word.
@@ -28,8 +28,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from marrow.llm.common import checkpointed, stored, utf8
 
 WINDOW = 13
-#: Windows in one broadcast: about 100 MB in a Python worker.
-BLOCK_WINDOWS = 400_000
+#: Windows in one broadcast, and their bytes: about 100 MB in a Python worker.
+BLOCK_WINDOWS, BLOCK_BYTES = 400_000, 40_000_000
 _KEEP = set(b"0123456789abcdefghijklmnopqrstuvwxyz") | set(range(0x80, 0x100))
 _FOLD = bytes(c if c in _KEEP else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _WORD = re.compile(rb"[^ ]+")
@@ -111,7 +111,7 @@ def _runs(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(d[::2].tolist(), d[1::2].tolist()))
 
 
-def find_overlap(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+def find_overlap(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_windows: int = BLOCK_WINDOWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per input row: id, n_words, items (sorted array), runs (array of [begin, end) word positions that are hit).
 
     ``windows`` comes from item_windows().  Null and empty texts have no words and no hits;
@@ -119,16 +119,21 @@ def find_overlap(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", te
     columns are not read.  With one block there is no shuffle of documents; with more, one
     block after the other is broadcast, scanned to a written table and released.
     """
-    return _overlap(docs, windows, id_col, text_col, block_windows).drop("key")
+    return _overlap(docs, windows, id_col, text_col, block_windows, block_bytes).drop("key")
 
 
-def _overlap(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str, block_windows: int) -> DataFrame:
+def _blocks(windows: DataFrame, block_windows: int, block_bytes: int) -> int:
+    """In how many blocks windows are dealt, by their number and by their bytes."""
+    n, size = windows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("window").cast("long")), F.lit(0))).first()
+    return max(1, -(-n // block_windows), -(-size // block_bytes))
+
+
+def _overlap(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str, block_windows: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """find_overlap() with key, a hash of id and text."""
     spark = docs.sparkSession
     src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     windows = checkpointed(windows)
-    n = windows.count()
-    blocks = max(1, -(-n // block_windows))
+    blocks = _blocks(windows, block_windows, block_bytes)
     item_type = windows.schema["item"].dataType
     item_kind = to_arrow_type(item_type)
     span = T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())])

@@ -4,8 +4,8 @@
    of similarity s share one with probability 1 - (1 - s ** ROWS) ** BANDS.  Sets that share
    a key are tied to the least set of that key, so a key of any size gives one edge a set,
    and components of these edges are groups that hold all candidates.
-2. Verification: the sets of a group meet once, in cells of two blocks of at most BLOCK / 2
-   sets each, so that a group of any size fits.  Within a cell all sets are linked that are
+2. Verification: the sets of a group meet once, in cells of two blocks of at most some BLOCK / 2
+   sets and HASHES / 2 hashes each (a longer set alone), so that a group of any size, and of texts of any length, fits.  Within a cell all sets are linked that are
    connected by pairs of the wanted similarity, by exact intersections.  Jaccard distance
    is a metric: sizes and distances to the first sets (pivots) rule out most pairs.
 """
@@ -26,8 +26,8 @@ from marrow.llm.graph import components
 
 SEED = 43
 BANDS, ROWS = 24, 5
-#: Most sets in a cell.
-BLOCK = 4096
+#: Most sets in a cell, and hashes of all its sets.
+BLOCK, HASHES = 4096, 4_000_000
 #: Pivots of a cell.
 PIVOTS = 8
 _MIX = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
@@ -115,7 +115,7 @@ def _edges(cells: DataFrame, similarity: float, shingle: int) -> DataFrame:
     return dealt.select("root", "i", "j", "key", "text").mapInArrow(run, "a long, b long")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, block: int = BLOCK, hashes: int = HASHES) -> DataFrame:
     """One row per input row: id, component_id (the smallest id of its class).
 
     Texts link when the Jaccard similarity of their shingle sets is ``similarity`` or more.
@@ -123,22 +123,24 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text; repeated rows give repeated results; other columns are not read.
     """
     src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("hash"))
-    schema = T.StructType([T.StructField("id", src.schema["id"].dataType), T.StructField("hash", T.LongType()), T.StructField("key", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("id", src.schema["id"].dataType), T.StructField("hash", T.LongType()), T.StructField("key", T.LongType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles_of(t, shingle) for t in utf8(batch.column(1))]
             key = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
             bands = [bands_of(x) if len(x) else np.zeros(0, np.int64) for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(key), pa.array(bands, pa.list_(pa.int64()))], schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(key), pa.array([len(x) for x in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64()))], schema.names)
 
     prints = stored(src.mapInArrow(run, schema))
-    by_key = stored(prints.groupBy("key").agg(F.min("id").alias("least"), F.min("hash").alias("hash"), F.min("bands").alias("bands")))
+    by_key = stored(prints.groupBy("key").agg(F.min("id").alias("least"), F.min("hash").alias("hash"), F.min("size").alias("size"), F.min("bands").alias("bands")))
     each = by_key.select("key", F.explode("bands").alias("band"))
     shared = small_side(checkpointed(each.groupBy("band").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").select("band", "first")))
     groups = components(each.join(shared, "band").where("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b")).distinct())
-    blocks = groups.groupBy("root").agg(F.ceil(F.count("*") / F.lit(max(block // 2, 1))).cast("int").alias("blocks"))
-    wanted = groups.join(blocks.withColumn("blocks", F.when(F.col("blocks") <= 2, 1).otherwise(F.col("blocks"))), "root").join(by_key.select("key", F.col("hash")), F.col("node") == F.col("key")).select("hash", "key", "root", "blocks")
+    sized = groups.join(by_key.select("key", "hash", "size"), F.col("node") == F.col("key")).select("hash", "key", "root", "size")
+    n = F.greatest(F.ceil(F.count("*") / F.lit(max(block // 2, 1))), F.ceil(F.sum("size") / F.lit(max(hashes // 2, 1)))).cast("int")
+    blocks = sized.groupBy("root").agg(n.alias("blocks")).withColumn("blocks", F.when(F.col("blocks") <= 2, 1).otherwise(F.col("blocks")))
+    wanted = sized.join(blocks, "root").select("hash", "key", "root", "blocks")
     wanted = small_side(checkpointed(wanted))
     # a hash names one text of each set; its copies are left out before texts move
     texts = src.select("hash", "text").join(wanted, "hash").dropDuplicates(["hash"])

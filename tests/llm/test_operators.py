@@ -205,6 +205,7 @@ def test_near_copies_brute_force(spark, edge, block):
             root[i] = root[j] = min(root[i], root[j])
     d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {x["id"]: x["component_id"] for x in nearcopies.near_copies(d, block=block).collect()} == root
+    assert {x["id"]: x["component_id"] for x in nearcopies.near_copies(d, block=block, hashes=500).collect()} == root
     kept = {x["doc_id"] for x in corpus_pipeline.near_dedup(spark, d.selectExpr("*", "'en' as lang", "'s' as source", "cast(length(text) as long) as n_chars"), "").collect()}
     assert not [1 for i, j in near if i in kept and j in kept]
     print_root = brute_near(texts, 5, 3)
@@ -515,15 +516,15 @@ def _words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) if t else []
 
 
-@pytest.mark.parametrize("block", [400_000, 5])
-def test_decontamination_brute_force(spark, edge, block):
+@pytest.mark.parametrize(("block", "size"), [(400_000, 40_000_000), (5, 40_000_000), (400_000, 150)])
+def test_decontamination_brute_force(spark, edge, block, size):
     r = random.Random(9)
     w = lambda n: " ".join(r.choice(["ab", "cd", "é", "x1", "Yz"]) for _ in range(n))
     items = [(i, t) for i, t in enumerate([w(20), w(14), "ab cd", "É", "", None, "nope nope"])]
     docs = [(i, w(40)) for i in range(60)] + [(60 + i, f"{w(10)}, {t}! {w(9)}") for i, t in items if t] + [(90, None), (91, ""), (92, "ab cd"), (92, "ab cd")]
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("items", F.lit("clash"))
     windows = decontaminate.item_windows(spark.createDataFrame(items, "item_id long, text string"))
-    got = [(x["id"], x["n_words"], x["n"], x["items"]) for x in decontaminate.find_overlap(d, windows, block_windows=block).withColumn("n", decontaminate.hit_words()).collect()]
+    got = [(x["id"], x["n_words"], x["n"], x["items"]) for x in decontaminate.find_overlap(d, windows, block_windows=block, block_bytes=size).withColumn("n", decontaminate.hit_words()).collect()]
     want = []
     for i, t in docs:
         ws, hit, own = _words(t), set(), set()
@@ -537,6 +538,7 @@ def test_decontamination_brute_force(spark, edge, block):
                         own.add(k)
         want.append((i, len(ws), len(hit), sorted(own)))
     assert sorted(got) == sorted(want)
+    assert decontaminate._blocks(windows, block, size) == (1 if block + size > 40_000_000 + 5 else -(-windows.count() // 5) if block == 5 else -(-windows.agg(F.sum(F.octet_length("window"))).first()[0] // 150))
     for x in both(spark, edge):
         assert decontaminate.find_overlap(x, windows, block_windows=block).count() == x.count()
     assert decontaminate.find_overlap(d, windows.limit(0), block_windows=block).where("size(runs) > 0").count() == 0
