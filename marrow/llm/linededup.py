@@ -44,9 +44,9 @@ REACH = 6
 GAP = WINDOW - GRAM
 #: A blank behind one of these ends a line, as does a line break.
 ENDS = ".!?,;:r"
-#: A line of more words is cut, from its start, in lines of PIECE words: text without such ends (one word
+#: A line of more bytes is cut, from its start, in lines of PIECE words: text without such ends (one word
 #: over and over, for one) has lines as well.
-LONGEST, PIECE = 8, 4
+LONGEST, PIECE = 160, 4
 #: White space that may stand around a line break.
 HANGING = "\n\t\r\x0b\x0c "
 #: Bits of a line's number that hold its words (up to 63); the rest are a hash.
@@ -62,11 +62,10 @@ def parts(text: Column) -> Column:
     """The lines of a text; joined by blanks, and "\\n " made "\\n", they give the text."""
     whole = F.split(F.replace(text, F.lit("\n"), F.lit("\n ")), f"(?<=[{ENDS}\n]) ")
 
-    def pieces(line: Column) -> Column:
-        cut = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(PIECE)), lambda i: F.array_join(F.slice(w, i + 1, PIECE), " "))
-        return F.when(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "))) < LONGEST, F.array(line)).otherwise(_bind(F.split(line, " "), cut))
-
-    return F.flatten(F.transform(whole, pieces))
+    cut = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(PIECE)), lambda i: F.array_join(F.slice(w, i + 1, PIECE), " "))
+    long = lambda line: F.octet_length(line) > LONGEST
+    pieces = lambda line: F.when(long(line), _bind(F.split(line, " "), cut)).otherwise(F.array(line))
+    return _bind(whole, lambda own: F.when(F.exists(own, long), F.flatten(F.transform(own, pieces))).otherwise(own))
 
 
 def _bare(line: Column) -> Column:
@@ -132,11 +131,12 @@ def _around(at: Column) -> list[Column]:
     return [F.array(*left).alias("left"), F.array(*right).alias("right")]
 
 
-def _same(a: Column, b: Column) -> Column:
-    """How many lines two arrays share from their start."""
+def _same(numbers: Column, first: Column, step: int, head: Column) -> Column:
+    """How many lines from ``first`` on, going by ``step``, are those of a head."""
     out = F.lit(REACH)
     for k in range(REACH - 1, -1, -1):
-        out = F.when(F.coalesce(F.get(a, F.lit(k)) == F.get(b, F.lit(k)), F.lit(False)), out).otherwise(k)
+        own = F.shiftright(F.get(numbers, first + step * k), 32).cast("int")
+        out = F.when(F.coalesce(own == F.get(head, F.lit(k)), F.lit(False)), out).otherwise(k)
     return out
 
 
@@ -150,14 +150,19 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     heads = stored(heads.join(of_head, (F.col("hkey") == F.col("tkey")) & F.col("hid").eqNullSafe(F.col("tid"))).select("gram", "hid", "hkey", "hat", *_around(F.col("hat"))).dropDuplicates(["gram"]))
     later = places.join(heads.withColumnRenamed("left", "hleft").withColumnRenamed("right", "hright"), "gram").where(F.struct("id", "key", "at") > F.struct("hid", "hkey", "hat"))
     later = later.withColumn("own", (F.col("key") == F.col("hkey")) & F.col("id").eqNullSafe(F.col("hid")))
-    # back to the text, for the lines around each place
-    later = later.select("id", "key", "at", F.when(F.col("own"), F.col("hat")).alias("hat"), "hleft", "hright")
+    # back to the text, for the lines around each place: its places in one row (no more than it has
+    # lines), so that its lines are read once; what goes on is small
+    place = F.struct("at", F.when(F.col("own"), F.col("hat")).alias("hat"), "hleft", "hright")
+    later = later.groupBy("key", "id").agg(F.collect_list(place).alias("places"))
     met = later.join(of_head, (F.col("key") == F.col("tkey")) & F.col("id").eqNullSafe(F.col("tid")))
-    met = met.select("id", "key", "at", "hat", "hleft", "hright", "numbers", *_around(F.col("at")))
-    met = met.withColumn("l", _same(F.col("left"), F.col("hleft"))).withColumn("r", _same(F.col("right"), F.col("hright")))
-    met = met.where(F.col("hat").isNull() | (F.col("at") - F.col("l") > F.col("hat") + F.col("r") + GRAM - 1))
-    counts = F.transform(F.slice("numbers", F.col("at") - F.col("l") + 1, F.col("l") + F.col("r") + GRAM), lambda x: x.bitwiseAND(F.lit(_COUNT)).cast("byte"))
-    spans = met.select("id", "key", (F.col("at") - F.col("l")).alias("s"), (F.col("at") + GRAM - 1 + F.col("r")).alias("e"), counts.alias("counts"))
+    numbers = F.col("numbers")
+
+    def span(p: Column) -> Column:
+        ends = F.struct((p["at"] - _same(numbers, p["at"] - 1, -1, p["hleft"])).alias("s"), (p["at"] + GRAM - 1 + _same(numbers, p["at"] + GRAM, 1, p["hright"])).alias("e"))
+        counts = lambda x: F.transform(F.slice(numbers, x["s"] + 1, x["e"] - x["s"] + 1), lambda y: y.bitwiseAND(F.lit(_COUNT)).cast("byte"))
+        return _bind(ends, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), (p["hat"] + x["e"] - p["at"]).alias("before"), counts(x).alias("counts")))
+
+    spans = met.select("id", "key", F.inline(F.transform("places", span))).where("before is null or s > before").drop("before")
     w = Window.partitionBy("key", "id").orderBy("s", "e")
     before, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
 

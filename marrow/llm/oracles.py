@@ -108,7 +108,7 @@ def _shared(side: str) -> str:
 
 LINES = rf"""
 WITH u AS (SELECT doc_id, text, string_split(regexp_replace(replace(text, chr(10), concat(chr(10), ' ')), '([{ENDS}\n]) ', concat('\1', chr(1)), 'g'), chr(1)) AS whole FROM documents),
-a AS (SELECT doc_id, text, flatten(list_transform(whole, lambda p: CASE WHEN len(string_split(p, ' ')) > {LONGEST}
+a AS (SELECT doc_id, text, flatten(list_transform(whole, lambda p: CASE WHEN strlen(p) > {LONGEST}
     THEN list_transform(range(0, len(string_split(p, ' ')), {PIECE}), lambda i: array_to_string(string_split(p, ' ')[i + 1 : i + {PIECE}], ' ')) ELSE [p] END)) AS parts FROM u),
 t AS (SELECT doc_id, i - 1 AS line, parts[i] AS part, CASE WHEN parts[i] LIKE concat('%', chr(10)) THEN trim(parts[i], {_HANGING}) ELSE parts[i] END AS bare FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM a)),
 d AS (SELECT doc_id, list(bare ORDER BY line) AS lines, list(least(63, length(bare) - length(replace(bare, ' ', '')) + 1) ORDER BY line) AS counts, list(md5(bare) ORDER BY line) AS numbers FROM t GROUP BY 1),

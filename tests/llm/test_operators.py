@@ -565,7 +565,7 @@ def brute_lines(rows, words):
     for i, t in rows:
         parts = re.split(rf"(?<=[{linededup.ENDS}\n]) ", (t or "").replace("\n", "\n "))
         words_of = [p.split(" ") for p in parts]
-        parts = [x for w in words_of for x in ([" ".join(w)] if len(w) <= linededup.LONGEST else [" ".join(w[k : k + linededup.PIECE]) for k in range(0, len(w), linededup.PIECE)])]
+        parts = [x for w in words_of for x in ([" ".join(w)] if len(" ".join(w).encode()) <= linededup.LONGEST else [" ".join(w[k : k + linededup.PIECE]) for k in range(0, len(w), linededup.PIECE)])]
         docs.append((i, t, parts, [p.strip(linededup.HANGING) if p.endswith("\n") else p for p in parts]))
     heads, places = {}, []
     for d, (i, _, _, own) in enumerate(docs):
