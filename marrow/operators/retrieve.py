@@ -235,7 +235,9 @@ class Cells:
         return np.hstack([b[codes[:, j]] for j, b in enumerate(self.books)]).astype(np.float32)
 
     def thresholds(self, unit: np.ndarray) -> np.ndarray:
-        """For each query the coded similarity that the wanted share of the pool exceeds."""
+        """For each query the coded similarity that the wanted share of the pool exceeds (a share of 1: any)."""
+        if self.share >= 1:
+            return np.full(len(unit), -np.inf)
         at = min(len(self.edge) - 1, max(0, math.ceil(self.share * len(self.edge)) - 1))
         parts = [-(unit[lo : lo + 1024].astype(np.float32) @ self.edge.T) for lo in range(0, len(unit), 1024)]
         return -np.concatenate([np.partition(x, at, axis=1)[:, at] for x in parts]) - 1e-6

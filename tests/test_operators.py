@@ -227,6 +227,7 @@ def test_cells_follow_the_vectors(spark):
     assert len(c.centres) == 60 and len(retrieve.fit_cells(q, p.where("item_id < 1300"), 5).centres) == 31
     assert c.probes <= 15 and c.share < 0.05
     u = retrieve._unit(v)
+    assert (retrieve.Cells(c.centres, c.books, c.edge, 1, 1.0).thresholds(u) == -np.inf).all() and (c.thresholds(u) > -1).all()
     codes = c.encode(u)
     assert codes.dtype == np.uint8 and codes.shape == (4000, 4) and ((c.decode(codes) - u) ** 2).sum(1).mean() < 0.05
     exact = {(x["test_id"], x["neighbor_id"]) for x in retrieve.knn_join(q, p, 5).collect()}
