@@ -14,8 +14,12 @@ from pyspark.sql import functions as F
 from marrow.functions import dot, l2_normalize
 from marrow.sources import stored
 
-#: Bytes of a matrix of queries that is broadcast, and of a block where there are more.
+#: Bytes of queries that are broadcast as one matrix, with what is held of each, and of a block where there are more.
 BLOCK_BYTES = 32 << 20
+#: Pool rows taken at a time, similarities held at a time, and queries in a batch of results.
+POOL_ROWS, TILE, OUT_QUERIES = 512, 1 << 19, 4096
+#: More than rounding to DIGITS moves a similarity.
+SLACK = 1e-11
 #: Digits of a similarity that decide the order; below, the smaller id wins.
 DIGITS = 12
 #: Pool rows of the first wave, how much each later wave is larger, and tasks of the first.
@@ -30,19 +34,40 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, dim)
 
 
-def _keep(held: tuple | None, sim: np.ndarray, cand: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the similarities (queries x candidates) and those held, the k best of each query; ties go to smaller ids."""
-    cand = np.broadcast_to(cand, sim.shape)
-    if held is not None:
-        sim, cand = np.hstack([held[0], sim]), np.hstack([held[1], cand])
-    if sim.shape[1] > k:
-        edge = -np.partition(-sim, k - 1, axis=1)[:, k - 1 : k]
-        order = np.lexsort((cand, -np.where(sim >= edge, sim, -np.inf)), axis=1)[:, :k]
-        sim, cand = np.take_along_axis(sim, order, 1), np.take_along_axis(cand, order, 1)
-    return sim, cand
+def _none(queries: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the k best of each query, not filled yet: similarities and ids."""
+    return np.full((queries, k), -np.inf), np.zeros((queries, k), np.int64)
+
+
+def _keep(held: tuple[np.ndarray, np.ndarray], queries: np.ndarray, part: np.ndarray, cand: np.ndarray, least: np.ndarray | None = None) -> None:
+    """Put pool rows ``part`` with ids ``cand`` among the k best held of each query, in place; ties go to smaller ids.
+
+    Similarities are worked out TILE at a time, so their memory depends on neither side.  Of
+    a tile only what can be among the best (and reaches ``least`` of its query) is ranked.
+    """
+    k = held[0].shape[1]
+    step = max(1, TILE // max(1, len(cand)))
+    for lo in range(0, len(queries), step):
+        tile = queries[lo : lo + step] @ part.T
+        sim, ids = (x[lo : lo + step] for x in held)
+        top, last = sim[:, -1].copy(), ids[:, -1].copy()
+        wanted = np.full(len(tile), -np.inf) if least is None else least[lo : lo + step]
+        floor = np.maximum(top, wanted)
+        if tile.shape[1] > k and not np.isfinite(floor).all():
+            floor = np.fmax(floor, -np.partition(-tile, k - 1, axis=1)[:, k - 1])
+        i, j = np.nonzero(tile >= (floor - SLACK)[:, None])
+        s, c = np.round(tile[i, j], DIGITS), cand[j]
+        fits = np.flatnonzero((s >= wanted[i]) & ((s > top[i]) | ((s == top[i]) & (c < last[i]))))
+        i, s, c = i[fits], s[fits], c[fits]
+        rows = np.unique(i)
+        i, s, c = np.r_[np.repeat(rows, k), i], np.r_[sim[rows].ravel(), s], np.r_[ids[rows].ravel(), c]
+        order = np.lexsort((c, -s, i))
+        begin = np.searchsorted(i[order], rows)
+        best = order[begin[:, None] + np.arange(k)]
+        sim[rows], ids[rows] = s[best], c[best]
 
 
 def _rows(qid: np.ndarray, held: tuple, more: list[tuple[str, object, pa.DataType]]) -> pa.Table:
@@ -72,17 +97,16 @@ def _multiplied(q: DataFrame, p: DataFrame, keys: list[str], k: int, by: list[st
     kinds = [(c, p.schema[c].dataType.simpleString()) for c in by]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        held, qid = (np.zeros((0, 1)), np.zeros((0, 1), np.int64)), np.zeros(0, np.int64)
+        held, qid = _none(0, k), np.zeros(0, np.int64)
         if left.num_rows and right.num_rows:
-            qid, held = left["item_id"].to_numpy(), None
+            qid, held = left["item_id"].to_numpy(), _none(left.num_rows, k)
             dim = len(left["vector"][0])
             m = _unit(_matrix(left["vector"].combine_chunks(), dim))
             least = left["least"].to_numpy() if "least" in left.column_names else None
-            least = None if least is None else np.where(np.isnan(least), -np.inf, least)[:, None]
-            for lo in range(0, right.num_rows, 512):
-                part = right.slice(lo, 512)
-                sim = np.round(m @ _unit(_matrix(part["vector"].combine_chunks(), dim)).T, DIGITS)
-                held = _keep(held, sim if least is None else np.where(sim >= least, sim, -np.inf), part["item_id"].to_numpy(), k)
+            least = None if least is None else np.where(np.isnan(least), -np.inf, least)
+            for lo in range(0, right.num_rows, POOL_ROWS):
+                part = right.slice(lo, POOL_ROWS)
+                _keep(held, m, _unit(_matrix(part["vector"].combine_chunks(), dim)), part["item_id"].to_numpy(), least)
         return _rows(qid, held, [(c, right[c][0].as_py() if right.num_rows else None, right.schema.field(c).type) for c, _ in kinds])
 
     schema = "test_id long, neighbor_id long, similarity double" + "".join(f", {c} {t}" for c, t in kinds)
@@ -119,21 +143,28 @@ def _against_matrix(qid: np.ndarray, qm: np.ndarray, pool: DataFrame, k: int, by
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qid, qm, least = held.value
-        best: dict = {}
-        field = None
-        for batch in batches:
-            field = batch.schema.field(2).type if by else None
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                sim, cand = np.round(qm @ _unit(_matrix(part.column(1), dim)).T, DIGITS), part.column(0).to_numpy()
-                keys = np.array(part.column(2).to_pylist() if by else [None] * len(cand), object)
-                for key in set(keys.tolist()):
-                    at = np.flatnonzero(keys == key) if by else slice(None)
-                    own = sim[:, at]
-                    best[key] = _keep(best.get(key), np.where(own >= least[key][:, None], own, -np.inf) if key in least else own, cand[at], k)
-        for key, found in best.items():
-            yield from _rows(qid, found, [(by, key, field)] if by else []).to_batches()
+        now, best = None, None
+
+        def found() -> Iterator[pa.RecordBatch]:
+            key, field = now
+            for lo in range(0, len(qid), OUT_QUERIES):
+                yield from _rows(qid[lo : lo + OUT_QUERIES], tuple(x[lo : lo + OUT_QUERIES] for x in best), [(by, key, field)] if by else []).to_batches()
 
+        for batch in batches:
+            keys = np.array(batch.column(2).to_pylist() if by else [None] * batch.num_rows, object)
+            edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), batch.num_rows]
+            for at, end in zip(edges, edges[1:]):
+                if end > at and (now is None or now[0] != keys[at]):
+                    if now is not None:
+                        yield from found()
+                    now, best = (keys[at], batch.schema.field(2).type if by else None), _none(len(qid), k)
+                for lo in range(at, end, POOL_ROWS):
+                    part = batch.slice(lo, min(POOL_ROWS, end - lo))
+                    _keep(best, qm, _unit(_matrix(part.column(1), dim)), part.column(0).to_numpy(), least.get(now[0]))
+        if now is not None:
+            yield from found()
+
+    pool = pool.sortWithinPartitions(by) if by else pool  # a task holds the best of one pool at a time
     return pool.mapInArrow(run, "test_id long, neighbor_id long, similarity double" + kind)
 
 
@@ -161,7 +192,7 @@ def knn_join(queries: DataFrame, pool: DataFrame, k: int, query_block: int | Non
     head = q.select(F.size("vector")).first()
     if head is None:
         return _ranked(spark.createDataFrame([], "test_id long, neighbor_id long, similarity double" + (f", {by} {p.schema[by].dataType.simpleString()}" if by else "")), k, own)
-    block = query_block or max(1, BLOCK_BYTES // (8 * max(1, head[0])))
+    block = query_block or max(1, BLOCK_BYTES // (8 * max(1, head[0]) + 24 * k))
     counts = p.groupBy(*own).agg(F.count("*").alias("n")).limit(POOLS + 1).collect()
     if len(counts) > POOLS:
         raise ValueError(f"more than {POOLS} pools in column {by}")

@@ -194,6 +194,43 @@ def test_wave_candidates_are_bounded(spark):
     assert free.count() > 40 * 3 * 40 and n < 39 * 3 * 4 * 4000 / first.count()
 
 
+def test_knn_memory_is_that_of_a_tile():
+    """What one pool batch takes doesn't grow with the queries, beyond the best held of each; ties, zeros and ids out of order give the same rows."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    p = retrieve._unit(rng.integers(-2, 3, (512, 8)).astype(float))
+    ids = rng.permutation(512)
+    peaks = []
+    for n in (4096, 32768):
+        q = retrieve._unit(rng.integers(-2, 3, (n, 8)).astype(float))
+        held = retrieve._none(n, 5)
+        tracemalloc.start()
+        for lo in range(0, 512, 128):
+            retrieve._keep(held, q, p[lo : lo + 128], ids[lo : lo + 128])
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        s = np.round(q[:300] @ p.T, retrieve.DIGITS)
+        want = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :5]
+        assert (held[1][:300] == ids[want]).all() and (held[0][:300] == np.take_along_axis(s, want, 1)).all()
+    assert peaks[1] < 1.5 * peaks[0] and peaks[1] < 20 * 8 * retrieve.TILE
+
+
+def test_knn_pools_in_turn(spark):
+    """Pools that lie mixed in one task are gone through one after the other: each gives the best of a query once a task."""
+    import numpy as np
+
+    d, v = _vectors(spark, 40)
+    mixed = d.repartition(1).withColumn("pool", F.col("item_id") % 4)
+    near = retrieve._against_matrix(np.arange(40), retrieve._unit(v), retrieve._side(mixed, "pool"), 3, "pool", {})
+    assert near.count() == 40 * 3 * 4
+    by_one = [tuple(r) for r in retrieve.knn_join(d, mixed.where("pool = 2"), 3).collect()]
+    both = retrieve.knn_join(d, mixed, 3, by="pool").where("pool = 2").select("test_id", "neighbor_rank", "neighbor_id", "similarity")
+    assert sorted(by_one) == sorted(map(tuple, both.collect()))
+
+
 def test_too_many_pools(spark):
     d, _ = _vectors(spark, 4)
     pools = spark.range(retrieve.POOLS + 1).select("id", F.array(F.lit(1.0)).alias("vector"), F.col("id").alias("pool_size")).withColumnRenamed("id", "item_id")
