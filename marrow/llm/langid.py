@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from marrow.llm.common import broadcast_object, HashIndex, utf8
+from marrow.llm.common import broadcast_object, HashIndex, slices, utf8
 
 #: Sample rows for each language (the bound of the model's size).
 SAMPLE_PER_LANG = 400
@@ -167,7 +167,7 @@ def identify(docs: DataFrame, model: PpmModel | None, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held()
-        for batch in batches:
+        for batch in slices(batches):
             texts = utf8(batch.column(1))
             ok = np.array([m is not None and has_letter(t) for t in texts], bool)
             lang, score, per = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))

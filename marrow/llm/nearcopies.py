@@ -21,13 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marrow.llm.common import checkpointed, small_side, stored, utf8
+from marrow.llm.common import checkpointed, slices, small_side, stored, utf8
 from marrow.llm.graph import components
 
 SEED = 43
 BANDS, ROWS = 24, 5
 #: Most sets in a cell, and hashes of all its sets.
 BLOCK, HASHES = 4096, 4_000_000
+#: Hashes of a cell that are compared with a set at once, unless one set has more.
+AT_ONCE = 200_000
 #: Pivots of a cell.
 PIVOTS = 8
 _MIX = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
@@ -54,19 +56,29 @@ def bands_of(hashes: np.ndarray) -> np.ndarray:
 def linked(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """Edges whose closure is that of all pairs of at least ``similarity``: each popped set meets those not reached yet."""
     size = np.array([len(x) for x in sets])
-    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
     begin = np.r_[0, np.cumsum(size)]
-    mark = np.zeros(int(flat.max()) + 1 if len(flat) else 0, bool)
+    known = np.unique(np.concatenate(sets))
+    flat = np.empty(int(begin[-1]), np.int32)
+    for p, x in enumerate(sets):
+        flat[begin[p] : begin[p + 1]] = np.searchsorted(known, x)
+    mark = np.zeros(len(known), bool)
+    del known
     left, edges, tables = np.flatnonzero(size), [], []
     far = 1 - similarity + 1e-9
 
     def likeness(x: int, others: np.ndarray) -> np.ndarray:
         mark[flat[begin[x] : begin[x + 1]]] = True
-        n = size[others]
-        at = np.repeat(begin[others] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        both = np.add.reduceat(mark[flat[at]].astype(np.int64), np.r_[0, np.cumsum(n)[:-1]])
+        ends, found = np.cumsum(size[others]), []
+        cuts = np.unique(np.searchsorted(ends, np.arange(AT_ONCE, ends[-1], AT_ONCE), side="right"))
+        for some in np.split(others, cuts):
+            if len(some):
+                n = size[some]
+                start = np.r_[0, np.cumsum(n)[:-1]]
+                at = np.repeat(begin[some] - start, n) + np.arange(n.sum())
+                both = np.add.reduceat(mark[flat[at]], start, dtype=np.int64)
+                found.append(both / (size[x] + n - both))
         mark[flat[begin[x] : begin[x + 1]]] = False
-        return both / (size[x] + n - both)
+        return np.concatenate(found)
 
     while len(left):
         frontier, left = [int(left[0])], left[1:]
@@ -99,7 +111,7 @@ def _edges(cells: DataFrame, similarity: float, shingle: int) -> DataFrame:
             e = linked(sets, similarity) if len(sets) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([keys[p] for p, _ in e], pa.int64()), pa.array([keys[q] for _, q in e], pa.int64())], ["a", "b"])
 
-        for batch in batches:
+        for batch in slices(batches):
             roots, i, j, key = (batch.column(k).to_pylist() for k in range(4))
             for here, k, t in zip(zip(roots, i, j), key, utf8(batch.column(4))):
                 if here != cell:
@@ -126,7 +138,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = T.StructType([T.StructField("id", src.schema["id"].dataType), T.StructField("hash", T.LongType()), T.StructField("key", T.LongType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingles_of(t, shingle) for t in utf8(batch.column(1))]
             key = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
             bands = [bands_of(x) if len(x) else np.zeros(0, np.int64) for x in sets]

@@ -701,3 +701,30 @@ def test_chat_rotation(spark):
     assert [a["text"][m["begin"] : m["end"]] for m in a["mask"]] == ["hi<|end|>\n", "<|end|>\n", "<|end|>\n"]
     assert got[3, "bob", 2]["begin"] == len(got[3, "bob", 0]["text"]) and got[3, "bob", 2]["mask"] == []
     assert chat.rotate(d.limit(0)).count() == 0
+
+
+def test_cells_and_slices_are_bounded(monkeypatch):
+    """A cell's comparisons take memory by AT_ONCE, not by its hashes, with the same edges; tasks make objects of SLICE_ROWS texts at a time."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from marrow.llm import common
+
+    rng = np.random.default_rng(7)
+    draw = lambda n: rng.integers(0, 1 << 60, n).astype(np.uint64)
+    base = draw(20_000)
+    sets = [np.unique(np.concatenate([base, draw(50 * (i % 40))])) for i in range(120)] + [np.zeros(0, np.uint64)]
+    tracemalloc.start()
+    edges = nearcopies.linked(sets, 0.97)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    flat = sum(map(len, sets))
+    assert peak < 24 * flat + 40 * nearcopies.AT_ONCE
+    for most in (1, 30_000):
+        monkeypatch.setattr(nearcopies, "AT_ONCE", most)
+        assert nearcopies.linked(sets, 0.97) == edges and edges
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1201))], ["id"])
+    parts = list(common.slices([batch, batch.slice(0, 0)]))
+    assert [x.num_rows for x in parts] == [500, 500, 201] and pa.Table.from_batches(parts).column(0).to_pylist() == list(range(1201))
