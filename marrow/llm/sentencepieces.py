@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from marrow.llm.common import broadcast_object, HashIndex
+from marrow.llm.common import broadcast_object, slices, HashIndex
 
 MARK = "▁"
 #: Spans remembered in a worker, each of at most SPAN characters.
 MEMO, SPAN = 600_000, 48
+#: Texts split into words at a time.
+TEXTS = 250
 #: Score of a byte piece below the lowest score of the vocabulary.
 BYTE_PENALTY = 10.0
 #: Stretches between meeting points: from a line break, or from a run of blanks.
@@ -274,22 +276,20 @@ def round_trip(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = Encoder(held())
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                sizes, chunks, same, texts = [0], [], [], []
-                nulls = []
-                given = part.column(1).to_pylist()
-                for t, ids in zip(given, e.encode_all([t or "" for t in given])):
-                    back = e.decode(ids.tolist())
-                    nulls.append(t is None)
-                    same.append(t is None or back == t.encode("utf-8"))
-                    texts.append(None if t is None else back)
-                    chunks.append(ids)
-                    sizes.append(sizes[-1] + len(ids))
-                arrays = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(chunks) if chunks else np.zeros(0, "<i4"), pa.int32()), mask=pa.array(nulls, pa.bool_()))
-                cols = [part.column(0), arrays, pa.array(np.diff(sizes), pa.int64()), pa.array(same, pa.bool_())]
-                cols += [pa.array(texts, pa.binary()).cast(pa.string())] if keep_text else []
-                yield pa.RecordBatch.from_arrays(cols, [f.name for f in fields])
+        for part in slices(batches, TEXTS):
+            sizes, chunks, same, texts = [0], [], [], []
+            nulls = []
+            given = part.column(1).to_pylist()
+            for t, ids in zip(given, e.encode_all([t or "" for t in given])):
+                back = e.decode(ids.tolist())
+                nulls.append(t is None)
+                same.append(t is None or back == t.encode("utf-8"))
+                texts.append(None if t is None else back)
+                chunks.append(ids)
+                sizes.append(sizes[-1] + len(ids))
+            arrays = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(chunks) if chunks else np.zeros(0, "<i4"), pa.int32()), mask=pa.array(nulls, pa.bool_()))
+            cols = [part.column(0), arrays, pa.array(np.diff(sizes), pa.int64()), pa.array(same, pa.bool_())]
+            cols += [pa.array(texts, pa.binary()).cast(pa.string())] if keep_text else []
+            yield pa.RecordBatch.from_arrays(cols, [f.name for f in fields])
 
     return src.mapInArrow(run, T.StructType(fields))

@@ -727,4 +727,5 @@ def test_cells_and_slices_are_bounded(monkeypatch):
         assert nearcopies.linked(sets, 0.97) == edges and edges
     batch = pa.RecordBatch.from_arrays([pa.array(range(1201))], ["id"])
     parts = list(common.slices([batch, batch.slice(0, 0)]))
+    assert [x.num_rows for x in common.slices([batch], sentencepieces.TEXTS)] == [250] * 4 + [201]
     assert [x.num_rows for x in parts] == [500, 500, 201] and pa.Table.from_batches(parts).column(0).to_pylist() == list(range(1201))
