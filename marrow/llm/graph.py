@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marrow.llm.common import checkpointed
 
 
+def _edges(df: DataFrame, *pairs: tuple[Column | str, Column | str]) -> DataFrame:
+    """An edge (u, v) for each of ``pairs`` of each row; a union would plan what df is made of once for each."""
+    struct = lambda p: F.struct(*(F.col(c).alias(n) if isinstance(c, str) else c.alias(n) for c, n in zip(p, ("u", "v"))))
+    return df.select(F.inline(F.array(*map(struct, pairs))))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b); root is the smallest node that can be reached.
 
@@ -20,12 +26,12 @@ def components(edges: DataFrame) -> DataFrame:
     ab = checkpointed(ab)
     before = None
     while True:
-        both = ab.unionByName(ab.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = _edges(ab, ("u", "v"), ("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         met = large.join(low, "u")
-        small = met.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(met.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        small = _edges(met, (F.greatest("v", "m"), F.least("v", "m")), ("u", "m")).where("u <> v").distinct()
         ab = checkpointed(small)
         now = tuple(ab.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:

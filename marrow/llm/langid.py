@@ -34,18 +34,16 @@ UNKNOWN = "und"
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 
-def _grams(data: np.ndarray, within: np.ndarray, longest: int) -> list[np.ndarray]:
-    """grams[k-1][t]: the k bytes that end at t, tagged with k (0 where the text is shorter)."""
+def _grams(data: np.ndarray, within: np.ndarray, longest: int) -> Iterator[np.ndarray]:
+    """For k = 1, 2 ..: at t the k bytes that end there, tagged with k (0 where the text is shorter); one k is held at a time."""
     b = data.astype(np.uint64)
-    out, g = [], b.copy()
+    g = b.copy()
     for k in range(1, longest + 1):
         if k > 1:
-            g = g.copy()
             g[k - 1 :] |= b[: len(b) - k + 1] << np.uint64(8 * (k - 1))
         x = g | np.uint64(k << 56)
         x[within < k - 1] = 0
-        out.append(x)
-    return out
+        yield x
 
 
 class PpmModel:
@@ -54,7 +52,7 @@ class PpmModel:
     def __init__(self, langs: list[str], keys: np.ndarray, cost: np.ndarray, escape: np.ndarray, root: np.ndarray, order: int):
         self.langs, self.order, self.root = langs, order, root.astype(np.float32)
         self.find = HashIndex(keys).find
-        self.cost, self.escape = cost.astype(np.float32), escape.astype(np.float32)
+        self.cost, self.escape = cost.astype(np.float32, copy=False), escape.astype(np.float32, copy=False)
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Code length of each whole text in each language; long texts go in chunks."""
@@ -69,7 +67,7 @@ class PpmModel:
             pos = np.arange(back, hi)
             doc = np.searchsorted(starts, pos, side="right") - 1
             within = pos - starts[doc]
-            grams = _grams(data[back:hi], within, K)
+            grams = list(_grams(data[back:hi], within, K))
             cut = lo - back
             doc, within = doc[cut:], within[cut:]
             here = np.arange(hi - lo)
@@ -96,6 +94,25 @@ class PpmModel:
             total[:, j] += np.bincount(doc, weights=rows[:, j], minlength=len(total))
 
 
+def _bounded(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """The texts in parts of CHUNK_BYTES bytes or one text."""
+    part, size = [], 0
+    for t in texts:
+        if part and size + len(t) > CHUNK_BYTES:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield part
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct grams of several counts, and their sums."""
+    grams, at = np.unique(np.concatenate([u for u, _ in parts]), return_inverse=True)
+    return grams, np.bincount(at, weights=np.concatenate([c for _, c in parts]), minlength=len(grams)).astype(np.int64)
+
+
 def train(sample: list[tuple[str, str]], order: int = ORDER) -> PpmModel | None:
     """Count and freeze the trees of a bounded sample of rows (language, text); None without rows."""
     by: dict[str, list[bytes]] = {}
@@ -108,12 +125,15 @@ def train(sample: list[tuple[str, str]], order: int = ORDER) -> PpmModel | None:
     K, L = order + 1, len(langs)
     counted: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(K)]
     for lang in langs:
-        data = np.frombuffer(b"".join(by[lang]), np.uint8)
-        starts = np.cumsum([0, *map(len, by[lang])])
-        pos = np.arange(len(data))
-        within = pos - starts[np.searchsorted(starts, pos, side="right") - 1]
-        for k, g in enumerate(_grams(data, within, K)):
-            counted[k].append(np.unique(g[g != 0], return_counts=True))
+        found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(K)]
+        for texts in _bounded(by[lang]):
+            data = np.frombuffer(b"".join(texts), np.uint8)
+            size = np.array([len(t) for t in texts])
+            within = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)
+            for k, g in enumerate(_grams(data, within, K)):
+                found[k].append(np.unique(g[g != 0], return_counts=True))
+        for k in range(K):
+            counted[k].append(_merged(found[k]))
     keys, cost, escape, base = [], [], [], 0
     before_keys, before_cost, before_escape, root = np.zeros(0, np.uint64), np.zeros((0, L)), np.zeros((0, L)), np.zeros(L)
     for k in range(1, K + 1):
@@ -140,10 +160,11 @@ def train(sample: list[tuple[str, str]], order: int = ORDER) -> PpmModel | None:
         if k == 1:
             root = esc_here[0]
         else:
-            escape[-1] = esc_here
+            escape[-1] = esc_here.astype(np.float32)
+        counted[k - 1] = []
         keys.append(own)
-        cost.append(bits)
-        escape.append(np.zeros((len(own), L)))
+        cost.append(bits.astype(np.float32))  # the model keeps no more digits
+        escape.append(np.zeros((len(own), L), np.float32))
         before_keys, before_cost = own, bits
     return PpmModel(langs, np.concatenate(keys), np.concatenate(cost), np.concatenate(escape), root, order)
 

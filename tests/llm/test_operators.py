@@ -729,3 +729,32 @@ def test_cells_and_slices_are_bounded(monkeypatch):
     parts = list(common.slices([batch, batch.slice(0, 0)]))
     assert [x.num_rows for x in common.slices([batch], sentencepieces.TEXTS)] == [250] * 4 + [201]
     assert [x.num_rows for x in parts] == [500, 500, 201] and pa.Table.from_batches(parts).column(0).to_pylist() == list(range(1201))
+
+
+def test_langid_training_is_bounded():
+    """Training takes memory by parts of the sample, not ten numbers and more for each byte of a language."""
+    import tracemalloc
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(200)]
+    texts = [" ".join(rng.choice(words) for _ in range(400)) for _ in range(1000)]
+    tracemalloc.start()
+    model = langid.train([("en", t) for t in texts])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * sum(map(len, texts))
+    whole = langid.CHUNK_BYTES
+    try:
+        langid.CHUNK_BYTES = 1 << 40
+        once = langid.train([("en", t) for t in texts])
+    finally:
+        langid.CHUNK_BYTES = whole
+    assert (model.cost == once.cost).all() and (model.escape == once.escape).all() and (model.root == once.root).all()
+
+
+def test_components_plan_each_round_once(spark, monkeypatch):
+    """A round's edges come from one plan; a union of it with itself made the driver plan and run each part twice."""
+    plans, kept = [], graph.checkpointed
+    monkeypatch.setattr(graph, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or kept(df))
+    got = graph.components(spark.createDataFrame([(i, i + 1) for i in range(9)], "a long, b long"))
+    assert got.count() == 10 and len(plans) > 2 and not any("Union" in p for p in plans)
